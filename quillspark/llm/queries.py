@@ -8,11 +8,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import pages, table
+from quillspark.llm.eyeform import eye_forms, known_repairs, look_alike_pairs
 from quillspark.llm.packing import pack
+from quillspark.llm.repeated_lines import repeated_lines, without_lines
+from quillspark.llm.shared_spans import shared_spans
 from quillspark.llm.splitting import split_texts
 from quillspark.llm.tokenizing import count_tokens, encode_texts
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines(pages(table(spark, d, "parsed_docs")), "domain", "file", "page", "text", "fetched_at").select("file", "page", "line_no")
+
+
+def p1_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every page without its repeated lines; lines met in copies of few documents only are an article's and stay."""
+    p = pages(table(spark, d, "parsed_docs"))
+    lines = repeated_lines(p, "domain", "file", "page", "text", "fetched_at", clusters=3, dates=2)
+    return without_lines(p.select("file", "page", "text"), lines, "file", "page", "text").select("file", "page", "clean").distinct()
+
+
+def visible_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, key, text) of the questions and of the first pages of web pages."""
+    asked = table(spark, d, "ask_requests").select(F.lit("ask_requests").alias("tab"), F.col("id").alias("key"), F.col("question").alias("text"))
+    web = pages(table(spark, d, "parsed_docs"), "txt").where("page = 1").select(F.lit("parsed_docs").alias("tab"), F.col("file").alias("key"), "text")
+    return asked.unionByName(web)
+
+
+def p2_forms(spark: SparkSession, d: str) -> DataFrame:
+    """Questions and pages in their consistent form."""
+    texts = visible_texts(spark, d)
+    return eye_forms(texts, "text", known_repairs(texts.select("text"))).select("tab", "key", "form").distinct()
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    texts = visible_texts(spark, d)
+    return look_alike_pairs(eye_forms(texts, "text", known_repairs(texts.select("text"))), ["tab"], "key", "text")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every page; forced: 1 if the piece ends inside a run without white space."""
     p = split_texts(pages(table(spark, d, "parsed_docs")))
@@ -36,8 +68,19 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(docs), "doc_id", "tokens", n_items=docs.count())
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "documents"), "doc_id")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """How much of each document is shared with others."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("chars")).distinct()
+    shared = shared_spans(table(spark, d, "documents"), "doc_id").groupBy("doc_id").agg(F.sum(F.col("span_end") - F.col("span_start")).alias("shared"))
+    return docs.join(shared, "doc_id", "left").select("doc_id", "chars", F.coalesce("shared", F.lit(0)).alias("shared_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p7_pieces, p7_found, p8_ids, p9_containers)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
