@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import pages, table
 from quillspark.llm.eyeform import eye_forms, known_repairs, look_alike_pairs
 from quillspark.llm.packing import pack
+from quillspark.llm.pair_defects import pair_defects
 from quillspark.llm.repeated_lines import repeated_lines, without_lines
 from quillspark.llm.shared_spans import shared_spans
 from quillspark.llm.splitting import split_texts
@@ -45,6 +46,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(eye_forms(texts, "text", known_repairs(texts.select("text"))), ["tab"], "key", "text")
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return pair_defects(table(spark, d, "ask_requests"), table(spark, d, "ask_responses"))
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every page; forced: 1 if the piece ends inside a run without white space."""
     p = split_texts(pages(table(spark, d, "parsed_docs")))
@@ -80,7 +85,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
