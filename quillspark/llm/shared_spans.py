@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import mix64
+from quillspark.llm.common import cut, mix64
 
 #: Code points of a phrase. Shorter ones recur by chance more often, longer ones need more anchors.
 PHRASE = 64
@@ -227,7 +227,7 @@ def shared_spans(df: DataFrame, key: str, text: str = "text", span: int = 200, t
 
     found = long.mapInArrow(_finder(span), f"phrase long, context long, same long, id {kind}, place int")
     recurring = found.groupBy("phrase").agg(F.min("same").alias("lo"), F.max("same").alias("hi")).where("lo <> hi").select("phrase")
-    met = found.join(recurring, "phrase", "left_semi")
+    met = cut(found.join(recurring, "phrase", "left_semi"))
     classes = met.groupBy("phrase", "context").agg(F.min("same").alias("lo"), F.max("same").alias("hi"), F.min(F.struct("same", "id", "place")).alias("one"))
     per_phrase = classes.groupBy("phrase").agg(F.count(F.lit(1)).alias("classes"))
     wanted = classes.join(per_phrase, "phrase").groupBy(F.col("one.same").alias("of"), F.col("one.id").alias("whose")).agg(
