@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillspark.llm.common import INVISIBLE
+from quillspark.llm.common import INVISIBLE, cut
 
 # Letters that look alike in Latin, Cyrillic and Greek, in this order; a dot where a script has none.
 LOOK_ALIKE = """
@@ -35,6 +35,8 @@ _MARK = str.maketrans(MARKS)
 _BLANKS = re.compile(r"[^\S\n]+")
 _EDGES = re.compile(r" ?\n ?")
 _PLAIN = re.compile(r"[\n -~א-תء-غف-يЀ-ӿ₪]*").fullmatch
+# Texts of these characters only need no repair but of blanks, unless Latin and Cyrillic letters meet in them.
+ORDINARY = r"\A[\n -~À-ÖØ-öø-ÿא-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–—]*\z"
 _DOUBLE = re.compile(r"  |^ | $|\n | \n").search
 _SCRIPTS = {"L": "A-Za-zÀ-ɏ", "C": "Ѐ-ӿ", "G": "Ͱ-Ͽ"}
 _HAS = {s: re.compile(f"[{r}]").search for s, r in _SCRIPTS.items()}
@@ -173,7 +175,7 @@ def known_repairs(*texts: DataFrame) -> DataFrame:
     for t in texts:
         one = t.toDF("text").mapInArrow(_words, "word string, source string, place int")
         found = one if found is None else found.union(one)
-    found = found.distinct()
+    found = cut(found.distinct())
     good = found.groupBy("word").agg(F.max(F.col("source").isNull()).alias("clean"), F.min("source").alias("lo"), F.max("source").alias("hi")).where("clean or lo <> hi").select("word")
     return found.where("source is not null").join(good, "word").groupBy("source").agg(F.min(F.struct("place", "word"))["word"].alias("word"))
 
@@ -188,11 +190,12 @@ def eye_forms(df: DataFrame, text: str, repairs: DataFrame, out: str = "form") -
     names = [f"c{k}" for k in range(len(kept))]
     fields = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, kept, strict=True)]
     words = T.ArrayType(T.StringType())
-    cut_up = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{text}`").alias("text")).mapInArrow(
-        _pieces(len(names)), T.StructType([*fields, T.StructField("parts", words), T.StructField("odd", words)])
-    )
-    fine = cut_up.where("odd is null or size(odd) = 0").select(*names, F.concat_ws("", "parts").alias("form"), F.col("parts").isNull().alias("none"))
-    fine = fine.select(*names, F.when(~F.col("none"), F.col("form")).alias("form"))
+    given = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{text}`").alias("text"))
+    ordinary = F.coalesce(F.col("text").rlike(ORDINARY) & ~(F.col("text").rlike("[A-Za-zÀ-ÿ]") & F.col("text").rlike("[Ѐ-ӿ]")), F.lit(True))
+    blanks = F.trim(F.regexp_replace(F.regexp_replace("text", " {2,}", " "), " ?\n ?", "\n"))
+    fine = given.where(ordinary).select(*names, blanks.alias("form"))
+    cut_up = given.where(~ordinary).mapInArrow(_pieces(len(names)), T.StructType([*fields, T.StructField("parts", words), T.StructField("odd", words)]))
+    fine = fine.unionByName(cut_up.where("size(odd) = 0").select(*names, F.concat_ws("", "parts").alias("form")))
     each = cut_up.where("size(odd) > 0").withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode("odd").alias("k", "source"))
     each = each.select("row", "source", F.when(F.col("k") == 0, F.struct(*names, "parts")).alias("whole"))
     mended = each.join(repairs, "source", "left").groupBy("row").agg(
