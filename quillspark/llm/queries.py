@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import pages, table
+from quillspark.llm.common import cut, pages, table
 from quillspark.llm.eyeform import eye_forms, known_repairs, look_alike_pairs
+from quillspark.llm.near_duplicates import groups, link_pairs, near_duplicates
 from quillspark.llm.packing import pack
 from quillspark.llm.pair_defects import pair_defects
 from quillspark.llm.repeated_lines import repeated_lines, without_lines
@@ -50,6 +51,17 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return pair_defects(table(spark, d, "ask_requests"), table(spark, d, "ask_responses"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    members, links = near_duplicates(table(spark, d, "chunks"), "id", "text")
+    return link_pairs(members, links, "id")
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk's group of near-duplicates and the number of different texts it is linked to."""
+    members, links = near_duplicates(table(spark, d, "chunks"), "id", "text")
+    return groups(members, cut(links), "id").select("id", "group", "links")
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every page; forced: 1 if the piece ends inside a run without white space."""
     p = split_texts(pages(table(spark, d, "parsed_docs")))
@@ -85,7 +97,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
