@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillspark.llm.common import cut, pages, table
 from quillspark.llm.eyeform import eye_forms, known_repairs, look_alike_pairs
 from quillspark.llm.near_duplicates import groups, link_pairs, near_duplicates
+from quillspark.llm.nearest_vectors import nearest_vectors
 from quillspark.llm.packing import pack
 from quillspark.llm.pair_defects import pair_defects
 from quillspark.llm.repeated_lines import repeated_lines, without_lines
@@ -62,6 +63,15 @@ def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     return groups(members, cut(links), "id").select("id", "group", "links")
 
 
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest_vectors(table(spark, d, "chunk_vectors"), "id", "embedding")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    near = nearest_vectors(table(spark, d, "chunk_vectors"), "id", "embedding").where("cosine >= 0.9")
+    return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every page; forced: 1 if the piece ends inside a run without white space."""
     p = split_texts(pages(table(spark, d, "parsed_docs")))
@@ -97,7 +107,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
