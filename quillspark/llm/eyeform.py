@@ -31,13 +31,11 @@ PERSIAN = {"ک": "ك", "ی": "يى"}
 MARKS = {"׳": "'", "״": '"', "‐": "-", "‑": "-", "־": "-"}
 
 _GONE = re.compile(f"[{INVISIBLE}]")
-_MARK = str.maketrans(MARKS)
-_BLANKS = re.compile(r"[^\S\n]+")
-_EDGES = re.compile(r" ?\n ?")
-_PLAIN = re.compile(r"[\n -~א-תء-غف-يЀ-ӿ₪]*").fullmatch
+_BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
+_EDGES = re.compile(r" \n ?|\n ")
+_PLAIN = re.compile(r"[\n -~א-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–—؟،]*").fullmatch
 # Texts of these characters only need no repair but of blanks, unless Latin and Cyrillic letters meet in them.
-ORDINARY = r"\A[\n -~À-ÖØ-öø-ÿא-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–—]*\z"
-_DOUBLE = re.compile(r"  |^ | $|\n | \n").search
+ORDINARY = r"\A[\n -~À-ÖØ-öø-ÿא-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–—؟،]*\z"
 _SCRIPTS = {"L": "A-Za-zÀ-ɏ", "C": "Ѐ-ӿ", "G": "Ͱ-Ͽ"}
 _HAS = {s: re.compile(f"[{r}]").search for s, r in _SCRIPTS.items()}
 _SCRIPT = {s: re.compile(f"[{r}]").match for s, r in _SCRIPTS.items()}
@@ -50,9 +48,12 @@ _ALIKE = {c for row in LOOK_ALIKE for c in row if c != "."}
 
 def plain(text: str) -> str:
     """``text`` without differences of single characters that need no context."""
-    if _PLAIN(text):
-        return text if not _DOUBLE(text) else _EDGES.sub("\n", _BLANKS.sub(" ", text)).strip(" ")
-    text = unicodedata.normalize("NFKC", _GONE.sub("", text)).translate(_MARK)
+    if not _PLAIN(text):
+        text = unicodedata.normalize("NFKC", _GONE.sub("", text))
+        for mark, same in MARKS.items():
+            text = text.replace(mark, same)
+    elif "  " not in text and "\n " not in text and " \n" not in text:
+        return text.strip(" ")
     return _EDGES.sub("\n", _BLANKS.sub(" ", text)).strip(" ")
 
 
@@ -108,6 +109,11 @@ def pieces(text: str, words: set[str] | None = None) -> tuple[list[str], list[tu
         return [text], []
     out, odd, at, base = [], [], 0, 0
     for line in text.splitlines(keepends=True):
+        if sum(bool(has(line)) for has in _HAS.values()) < 2 and not _PERSIAN.search(line):
+            if words is not None:
+                words.update(_WORD.findall(line), _ARABIC.findall(line))
+            base += len(line)
+            continue
         script = None
         for m in _WORD.finditer(line):
             w = m.group()
