@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, pages, table
 from quillspark.llm.eyeform import eye_forms, known_repairs, look_alike_pairs
+from quillspark.llm.main_content import main_lines
 from quillspark.llm.near_duplicates import groups, link_pairs, near_duplicates
 from quillspark.llm.nearest_vectors import nearest_vectors
 from quillspark.llm.packing import pack
@@ -72,6 +73,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    web = pages(table(spark, d, "parsed_docs"), "txt")
+    return main_lines(web, ["file", "page"], "text").select("file", "page", F.explode("lines").alias("line_no")).distinct()
+
+
+def p6_bodies(spark: SparkSession, d: str) -> DataFrame:
+    """The main body of every web page as text."""
+    web = pages(table(spark, d, "parsed_docs"), "txt").select("file", "page", "text").distinct()
+    lines = main_lines(web, ["file", "page", "text"], "text")
+    return lines.select("file", "page", F.array_join(F.transform("lines", lambda n: F.split("text", "\n")[n - 1]), "\n").alias("body"))
+
+
 def p7_pieces(spark: SparkSession, d: str) -> DataFrame:
     """Pieces of every page; forced: 1 if the piece ends inside a run without white space."""
     p = split_texts(pages(table(spark, d, "parsed_docs")))
@@ -107,7 +120,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_bodies, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:
