@@ -1,15 +1,300 @@
-"""The core's queries and their SQL."""
+"""The core's queries over the test tables, and the same in SQL for DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quillspark.functions import text as X
+from quillspark.operators.chunking import chunk, length_summary, parts, split_oversized
+from quillspark.operators.embed import HashingEncoder, embed, missing
+from quillspark.operators.evaluate import citation_scores, evaluate, last_wins, pending, report, run_diff, summarize
+from quillspark.operators.generate import EchoGenerator, judge_prompts, prompts
+from quillspark.operators.retrieve import index_records, recall, top_k
+from quillspark.plans.answering import answers_of, answer_questions
+from quillspark.sources.tables import described, failed, good
+from quillspark.streaming.asking import asked_per_window
+
+SOURCES = "array<struct<any_of:array<struct<file:string,page:string>>>>"
+
+
+def t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def vector_queries(spark: SparkSession, d: str) -> DataFrame:
+    """The query set: every vector whose id is divisible by 20."""
+    return t(spark, d, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def topk_cosine(spark: SparkSession, d: str) -> DataFrame:
+    index = t(spark, d, "embeddings")
+    hits = top_k(vector_queries(spark, d), index, 5, key="vec_id")
+    return hits.join(index.select(F.col("vec_id").alias("chunk_id"), "label"), "chunk_id").select("q_id", "rank", "chunk_id", "label", F.round("score", 6).alias("score"))
+
+
+def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
+    hits = top_k(vector_queries(spark, d), t(spark, d, "embeddings"), 5, key="vec_id")
+    return recall(hits.where("rank <= 3"), hits)
+
+
+def page_rows(spark: SparkSession, d: str) -> DataFrame:
+    docs = described(good(t(spark, d, "parsed_docs")).drop("domain", "kind"))
+    return docs.select("file", "domain", "kind", F.explode("pages").alias("p")).select("file", "domain", "kind", F.col("p.page").alias("page"), F.length("p.text").cast("bigint").alias("chars")).distinct()
+
+
+def parse_failures(spark: SparkSession, d: str) -> DataFrame:
+    return failed(t(spark, d, "parsed_docs")).distinct()
+
+
+def page_totals(spark: SparkSession, d: str) -> DataFrame:
+    return good(t(spark, d, "parsed_docs")).groupBy("domain").agg(F.sum(F.size("pages")).cast("bigint").alias("pages"), F.count(F.lit(1)).alias("docs"))
+
+
+def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
+    return chunk(good(t(spark, d, "parsed_docs"))).distinct()
+
+
+def chunk_split(spark: SparkSession, d: str) -> DataFrame:
+    made = parts(t(spark, d, "documents"), ["doc_id"], "text", lambda x: split_oversized(x.strip(), 1500))
+    return made.select("doc_id", F.posexplode("parts").alias("part", "text"))
+
+
+def chunk_length_stats(spark: SparkSession, d: str) -> DataFrame:
+    s = length_summary(t(spark, d, "chunks").distinct())
+    return s.select(F.col("n").cast("bigint").alias("n"), F.col("median").cast("bigint").alias("median"), F.col("longest").cast("bigint").alias("longest"))
+
+
+def index_rows(spark: SparkSession, d: str) -> DataFrame:
+    r = index_records(t(spark, d, "chunks"), t(spark, d, "chunk_vectors"))
+    return r.select("id", "file", "page", "url", "chunk_index", F.length("text").cast("bigint").alias("chars"), F.size("embedding").cast("bigint").alias("dim"))
+
+
+def fingerprint_rows(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").where("text is not null").select("doc_id", X.fingerprint("multilingual-e5-large", "passage", F.col("doc_id").cast("string"), "text").alias("fingerprint"))
+
+
+def embedding_cache_misses(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks for which the store has no vector of this encoder."""
+    stored = t(spark, d, "chunk_vectors").select("id", "fingerprint")
+    items = t(spark, d, "chunks").where("text is not null").select("id", "text").distinct()
+    return missing(items, stored, HashingEncoder(), "passage").select("id", "fingerprint")
+
+
+def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of all chunks by the offline encoder."""
+    return embed(t(spark, d, "chunks").where("text is not null").select("id", "text").distinct(), HashingEncoder()).select("id", F.size("embedding").alias("dim"), "fingerprint")
+
+
+def resume_pending(spark: SparkSession, d: str) -> DataFrame:
+    done = t(spark, d, "ask_responses").withColumn("endpoint_error", F.lit(None).cast("string"))
+    return pending(t(spark, d, "ask_requests").select("id").distinct(), done)
+
+
+def last_answers(spark: SparkSession, d: str) -> DataFrame:
+    last = last_wins(t(spark, d, "ask_responses").where("answered_at is not null"), "id", "answered_at")
+    return last.select("id", F.date_format("answered_at", "yyyy-MM-dd HH:mm:ss").alias("answered_at"), "domain")
+
+
+def _answers(spark: SparkSession, d: str) -> DataFrame:
+    """One answer an id, with the citations' pages as text."""
+    r = t(spark, d, "ask_responses").groupBy("id").agg(
+        F.min("answer").alias("answer"), F.min("confidence").alias("confidence"), F.min("latency_ms").alias("latency_ms"), F.min("domain").alias("domain"), F.max("citations").alias("citations")
+    )
+    return r.withColumn("citations", F.transform("citations", lambda c: F.struct(c["file"].alias("file"), c["page"].cast("string").alias("page"))))
+
+
+def _questions(spark: SparkSession, d: str) -> DataFrame:
+    """One question an id; the true sources are, of the answer's citations, every second one a page off."""
+    q = t(spark, d, "ask_requests").groupBy("id").agg(F.min("question").alias("question"))
+    shifted = lambda c, i: F.struct(F.array(F.struct(F.ltrim(c["file"], F.lit("/")).alias("file"), (c["page"].cast("int") + F.pmod(i, F.lit(2))).cast("string").alias("page"))).alias("any_of"))
+    a = _answers(spark, d)
+    return q.join(a.select("id", F.col("answer").alias("ground_truth_answer"), F.transform("citations", shifted).cast(SOURCES).alias("ground_truth_sources")), "id", "left")
+
+
+def _verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Judge replies of several shapes, made from the answers' confidence."""
+    score = (1 + F.floor(F.coalesce("confidence", F.lit(0.0)) * 4)).cast("int")
+    shape = F.length("id") + F.length(F.coalesce("answer", F.lit("")))
+    clean = F.format_string('{"reasoning": "r %s", "similarity_score": %d, "is_refusal": false, "is_hallucination": %s}', "id", score, F.when(score == 1, "true").otherwise("false"))
+    noisy = F.format_string('Here: {"reasoning": "see "x" for %s", "similarity_score": %d, "is_refusal": false /* no */} // end', "id", score)
+    reply = F.when(shape % 4 == 0, clean).when(shape % 4 == 1, F.concat(F.lit("```json\n"), clean, F.lit("\n```"))).when(shape % 4 == 2, noisy).otherwise(F.lit("no verdict"))
+    return _answers(spark, d).select("id", reply.alias("reply"))
+
+
+def judge_parse(spark: SparkSession, d: str) -> DataFrame:
+    return _verdicts(spark, d).select("id", X.parse_judgement("reply").alias("v")).select("id", "v.similarity_score", "v.is_hallucination", "v.status")
+
+
+def judge_messages(spark: SparkSession, d: str) -> DataFrame:
+    return judge_prompts(_questions(spark, d), _answers(spark, d)).select("id", F.length("prompt").cast("bigint").alias("chars"))
+
+
+def eval_rows(spark: SparkSession, d: str) -> DataFrame:
+    return evaluate(_questions(spark, d), _answers(spark, d), _verdicts(spark, d))[0].select("id", "answer_score", F.round("citation_score", 6).alias("citation_score"), "hallucinate", "error")
+
+
+def _rounded(s: DataFrame) -> DataFrame:
+    return s.select(*[c for c in s.columns if c == "domain"], "count", F.round("avg_answer_score", 6).alias("avg_answer_score"), "hallucinations", F.round("hallucination_rate", 6).alias("hallucination_rate"), F.round("avg_latency_ms", 1).alias("avg_latency_ms"))
+
+
+def eval_summary(spark: SparkSession, d: str) -> DataFrame:
+    return _rounded(evaluate(_questions(spark, d), _answers(spark, d), _verdicts(spark, d))[1])
+
+
+def eval_by_domain(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: the summary for each domain."""
+    rows = evaluate(_questions(spark, d), _answers(spark, d), _verdicts(spark, d))[0]
+    return _rounded(summarize(rows.join(_answers(spark, d).select("id", "domain"), "id", "left"), "domain"))
+
+
+def citation_score(spark: SparkSession, d: str) -> DataFrame:
+    s = citation_scores(_questions(spark, d), _answers(spark, d))
+    return s.select("id", "is_fully_correct", F.round("score", 6).alias("score"), "satisfied_groups_count")
+
+
+def citation_extract(spark: SparkSession, d: str) -> DataFrame:
+    a = _answers(spark, d).where("answer is not null")
+    return a.select("id", F.md5(X.without_trailer("answer").cast("binary")).alias("body"), F.concat_ws(",", F.transform(X.cited_numbers("answer"), lambda n: n.cast("string"))).alias("numbers"))
+
+
+def distinct_citations(spark: SparkSession, d: str) -> DataFrame:
+    c = _answers(spark, d).select("id", F.array_distinct(F.transform("citations", lambda c: F.struct(X.normalize_path(c["file"]).alias("file"), X.normalize_page(c["page"]).alias("page")))).alias("c"))
+    return c.select("id", F.posexplode("c").alias("pos", "c")).select("id", F.col("pos").cast("bigint").alias("pos"), "c.file", "c.page")
+
+
+def report_rows(spark: SparkSession, d: str) -> DataFrame:
+    q = _questions(spark, d).withColumn("pos", F.col("id").cast("bigint"))
+    e = evaluate(_questions(spark, d), _answers(spark, d), _verdicts(spark, d))[0].withColumn("answer_score", F.col("answer_score").cast("int"))
+    md5 = lambda c: F.md5(F.col(c).cast("binary")).alias(c)
+    return report(q, _answers(spark, d), e).select("pos", "id", md5("expected"), md5("answer"), "score", "hallucinate")
+
+
+def run_differences(spark: SparkSession, d: str) -> DataFrame:
+    """Two runs: one of the ids asked, one of the ids answered, flagged by different columns."""
+    a = _questions(spark, d).join(_answers(spark, d).select("id", "confidence"), "id", "left").select("id", (F.col("confidence") < 0.5).alias("hallucinate"))
+    b = _answers(spark, d).select("id", (F.col("latency_ms") > 1000).alias("hallucinate"))
+    return run_diff(a, b)
+
+
+def token_costs(spark: SparkSession, d: str) -> DataFrame:
+    return t(spark, d, "documents").groupBy("source").agg(F.round(F.sum(X.token_cost(F.coalesce("n_chars", F.lit(0)), F.lit(100))), 6).alias("cost"))
+
+
+def unit_vectors(spark: SparkSession, d: str) -> DataFrame:
+    u = t(spark, d, "chunk_vectors").where("embedding is not null").select("id", X.unit("embedding").alias("u")).distinct()
+    return u.select("id", F.round(F.element_at("u", 1), 5).alias("first"), F.round(F.element_at("u", -1), 5).alias("last"))
+
+
+def prompt_assembly(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts of the vector queries, whose hits show the documents of the same numbers."""
+    docs = t(spark, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.coalesce("source", F.lit("")).alias("file"), F.lit(1).alias("page"), F.coalesce("text", F.lit("")).alias("text"))
+    hits = top_k(vector_queries(spark, d), t(spark, d, "embeddings"), 5, key="vec_id").join(docs, "chunk_id")
+    q = vector_queries(spark, d).select("id", F.format_string("question %d", "id").alias("question"))
+    return prompts(q, hits).select("id", F.md5(F.col("prompt").cast("binary")).alias("prompt"))
+
+
+def confidence_check(spark: SparkSession, d: str) -> DataFrame:
+    r = t(spark, d, "ask_responses").select("id", "confidence").distinct()
+    return r.groupBy(X.in_confidence_range("confidence").alias("valid")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def manifest_urls(spark: SparkSession, d: str) -> DataFrame:
+    """Urls of chunks by their file's entry."""
+    urls = t(spark, d, "parsed_docs").where("url is not null").groupBy("file").agg(F.min("url").alias("listed"))
+    return t(spark, d, "chunks").select("id", "file").distinct().join(urls, "file", "left").select("id", "listed")
+
+
+def cited_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Answers of recorded replies whose hits are the pages the service cited: trailers resolved, only booklets with pages."""
+    a = _answers(spark, d).where("answer is not null")
+    given = a.select("id", F.col("answer").alias("reply"), F.lit(0.0).alias("latency_ms"), F.lit(1).alias("prompt_tokens"), F.lit(1).alias("completion_tokens"), F.lit(None).cast("string").alias("error"))
+    shown = a.select(F.col("id").alias("q_id"), F.posexplode("citations").alias("p", "c")).select(
+        "q_id", (F.col("p") + 1).alias("rank"), F.col("c.file").alias("file"), F.col("c.page").cast("int").alias("page"), F.when(F.col("c.file").endswith(".pdf"), "pdf").otherwise("txt").alias("kind"), F.lit(0.5).alias("score")
+    )
+    return answers_of(given, shown).select("id", F.size("retrieved").cast("bigint").alias("hits"), F.posexplode_outer("citations").alias("pos", "c")).select("id", "hits", F.col("pos").cast("bigint").alias("pos"), "c.file", "c.page")
+
+
+def rag_answers(spark: SparkSession, d: str) -> DataFrame:
+    """A whole run over the questions whose number is divisible by 20, with the offline encoder and generator."""
+    chunks = t(spark, d, "chunks").where("text is not null").distinct()
+    vectors = embed(chunks.select("id", "text"), HashingEncoder())
+    asked = t(spark, d, "ask_requests").where("question is not null and cast(id as bigint) % 20 = 0").groupBy("id").agg(F.min("question").alias("question"))
+    return answer_questions(asked, index_records(chunks, vectors), HashingEncoder(), EchoGenerator()).select("id", "answer", "citations", "retrieved")
+
+
+def asked_by_hour(spark: SparkSession, d: str) -> DataFrame:
+    """An extension: ids by the hour they were first asked in."""
+    w = asked_per_window(t(spark, d, "ask_requests").where("asked_at is not null"))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "asked")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    all_of = (
+        topk_cosine, recall_at_k, page_rows, parse_failures, page_totals, chunk_documents, chunk_split, chunk_length_stats, index_rows, fingerprint_rows, embedding_cache_misses, embedded_chunks,
+        resume_pending, last_answers, judge_parse, judge_messages, eval_rows, eval_summary, eval_by_domain, citation_score, citation_extract, distinct_citations, report_rows, run_differences,
+        token_costs, unit_vectors, prompt_assembly, confidence_check, manifest_urls, cited_pages, rag_answers, asked_by_hour,
+    )
+    return {f.__name__: f for f in all_of}
+
+
+_TOPK = """hits AS (SELECT * FROM (SELECT q.vec_id AS q_id, v.vec_id AS chunk_id, v.label, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS score,
+    row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS rank
+    FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0) WHERE rank <= 5)"""
+
+_ANSWERS = """ans AS (SELECT id, min(answer) AS answer, min(confidence) AS confidence, min(latency_ms) AS latency_ms, min(domain) AS domain, max(citations) AS citations FROM ask_responses GROUP BY id)"""
+
+_STRIP = r"'^[\s\x1c-\x1f\x{85}\p{Z}]+|[\s\x1c-\x1f\x{85}\p{Z}]+$', '', 'g'"
+_TRAILER = r"'(?i)[\s\x1c-\x1f\x{85}\p{Z}]*CITED:[\s\x1c-\x1f\x{85}\p{Z}]*(none|[\d,\s\x1c-\x1f\x{85}\p{Z}]+)$'"
+
+_EVALS = _ANSWERS + """, qs AS (SELECT id, min(question) AS question FROM ask_requests GROUP BY id),
+    shaped AS (SELECT *, (length(id) + length(coalesce(answer, ''))) % 4 AS shape, CAST(1 + floor(coalesce(confidence, 0) * 4) AS DOUBLE) AS made FROM ans),
+    cites AS (SELECT id, count(*) AS n, sum(CAST(ok AS INT)) AS met FROM (
+        SELECT id, g, bool_or(file = gfile AND page = gpage + off) AS ok FROM (
+            SELECT a.id, i AS g, (i - 1) % 2 AS off, trim(replace(a.citations[i].file, '\\', '/'), '/') AS gfile, a.citations[i].page AS gpage, trim(replace(c.file, '\\', '/'), '/') AS file, c.page AS page
+            FROM ans a, (SELECT unnest(range(1, 50)) AS i), unnest(a.citations) AS u(c) WHERE i <= len(a.citations)) GROUP BY id, g) GROUP BY id),
+    evals AS (SELECT q.id, CASE WHEN s.shape < 3 THEN s.made END AS answer_score, coalesce(c.met / c.n, 1.0) AS citation_score, CASE WHEN s.shape < 3 THEN s.made = 1 END AS hallucinate,
+        s.latency_ms AS latency, CASE WHEN s.id IS NULL THEN 'no answer' WHEN s.shape = 3 THEN 'no readable verdict' END AS error, s.domain
+        FROM qs q LEFT JOIN shaped s ON q.id = s.id LEFT JOIN cites c ON q.id = c.id)"""
+
+_SUMMARY = """count(*) AS count, round(coalesce(avg(answer_score), 0), 6) AS avg_answer_score, count(*) FILTER (answer_score = 1) AS hallucinations,
+    round(count(*) FILTER (answer_score = 1) / count(*), 6) AS hallucination_rate, round(coalesce(avg(latency), 0), 1) AS avg_latency_ms"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "topk_cosine": f"WITH {_TOPK} SELECT q_id, CAST(rank AS INT) AS rank, chunk_id, label, round(score, 6) AS score FROM hits",
+        "recall_at_k": "SELECT CAST(0.6 AS DOUBLE) AS recall",
+        "page_rows": "SELECT DISTINCT file, split_part(file, '/', 1) AS domain, regexp_extract(file, '\\.([^./]+)$', 1) AS kind, p.page AS page, length(p.text) AS chars FROM (SELECT file, unnest(pages) AS p FROM parsed_docs WHERE error IS NULL)",
+        "parse_failures": "SELECT DISTINCT file, error FROM parsed_docs WHERE error IS NOT NULL",
+        "page_totals": "SELECT domain, CAST(sum(len(pages)) AS BIGINT) AS pages, count(*) AS docs FROM parsed_docs WHERE error IS NULL GROUP BY domain",
+        "chunk_length_stats": "SELECT count(*) AS n, (list_sort(list(length(text))))[CAST(floor(count(*) / 2) AS BIGINT) + 1] AS median, max(length(text)) AS longest FROM (SELECT DISTINCT * FROM chunks) WHERE text IS NOT NULL",
+        "index_rows": "SELECT c.id, file, page, coalesce(url, '') AS url, chunk_index, length(text) AS chars, len(embedding) AS dim FROM (SELECT DISTINCT * FROM chunks) c JOIN (SELECT DISTINCT id, embedding FROM chunk_vectors WHERE embedding IS NOT NULL) v ON c.id = v.id",
+        "fingerprint_rows": "SELECT doc_id, sha256(concat_ws(chr(31), 'multilingual-e5-large', 'passage: ', CAST(doc_id AS VARCHAR), text)) AS fingerprint FROM documents WHERE text IS NOT NULL",
+        "embedding_cache_misses": "SELECT id, f AS fingerprint FROM (SELECT DISTINCT id, sha256(concat_ws(chr(31), 'hashing-64', '', id, text)) AS f FROM chunks WHERE text IS NOT NULL) WHERE (id, f) NOT IN (SELECT (id, fingerprint) FROM chunk_vectors WHERE id IS NOT NULL AND fingerprint IS NOT NULL)",
+        "resume_pending": "SELECT DISTINCT id FROM ask_requests WHERE id NOT IN (SELECT id FROM ask_responses WHERE id IS NOT NULL)",
+        "last_answers": "SELECT id, strftime(max(answered_at), '%Y-%m-%d %H:%M:%S') AS answered_at, arg_max(domain, answered_at) AS domain FROM (SELECT * FROM ask_responses WHERE answered_at IS NOT NULL) GROUP BY id",
+        "judge_parse": f"WITH {_EVALS} SELECT id, CASE WHEN shape < 3 THEN made END AS similarity_score, shape < 2 AND made = 1 AS is_hallucination, CASE shape WHEN 3 THEN 'error' WHEN 2 THEN 'fields' ELSE 'json' END AS status FROM shaped",
+        "judge_messages": f"WITH {_ANSWERS} SELECT a.id, length('Ground truth:' || chr(10) || coalesce(answer, '') || chr(10) || chr(10) || 'Candidate:' || chr(10) || coalesce(answer, '')) AS chars FROM ans a WHERE a.id IN (SELECT id FROM ask_requests)",
+        "eval_rows": f"WITH {_EVALS} SELECT id, answer_score, round(citation_score, 6) AS citation_score, hallucinate, error FROM evals",
+        "eval_summary": f"WITH {_EVALS} SELECT {_SUMMARY} FROM evals",
+        "eval_by_domain": f"WITH {_EVALS} SELECT domain, {_SUMMARY} FROM evals GROUP BY domain",
+        "citation_score": f"WITH {_EVALS} SELECT q.id, coalesce(met = n, true) AS is_fully_correct, round(coalesce(met / n, 1.0), 6) AS score, coalesce(CAST(met AS VARCHAR) || '/' || CAST(n AS VARCHAR), '0/0') AS satisfied_groups_count FROM qs q LEFT JOIN cites c ON q.id = c.id",
+        "citation_extract": f"""WITH {_ANSWERS}, s AS (SELECT id, regexp_replace(answer, {_STRIP}) AS a FROM ans WHERE answer IS NOT NULL)
+            SELECT id, md5(regexp_replace(regexp_replace(a, {_TRAILER}, ''), {_STRIP})) AS body, array_to_string(list_transform(regexp_extract_all(regexp_extract(a, {_TRAILER}, 1), '\\d+'), lambda x: CAST(CAST(x AS INT) AS VARCHAR)), ',') AS numbers FROM s""",
+        "distinct_citations": f"""WITH {_ANSWERS}, e AS (SELECT id, i, trim(replace(citations[i].file, '\\', '/'), '/') AS file, citations[i].page AS page FROM ans, (SELECT unnest(range(1, 50)) AS i) WHERE i <= len(citations)),
+            f AS (SELECT id, coalesce(file, '') AS file, page, min(i) AS i FROM e GROUP BY ALL) SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS pos, file, CAST(page AS VARCHAR) AS page FROM f""",
+        "report_rows": f"""WITH {_EVALS} SELECT CAST(e.id AS BIGINT) AS pos, e.id, md5(coalesce(a.answer, '[missing]')) AS expected, md5(coalesce(a.answer, '[missing]')) AS answer,
+            coalesce(CAST(CAST(answer_score AS INT) AS VARCHAR), 'N/A') AS score, coalesce(CAST(hallucinate AS VARCHAR), 'N/A') AS hallucinate FROM evals e LEFT JOIN ans a ON e.id = a.id""",
+        "run_differences": f"""WITH {_ANSWERS}, a AS (SELECT q.id, confidence < 0.5 AS h FROM (SELECT DISTINCT id FROM ask_requests) q LEFT JOIN ans ON q.id = ans.id), b AS (SELECT id, latency_ms > 1000 AS h FROM ans)
+            SELECT * FROM (SELECT coalesce(a.id, b.id) AS id, CASE WHEN b.id IS NULL THEN 'only_a' WHEN a.id IS NULL THEN 'only_b' WHEN a.h IS DISTINCT FROM b.h THEN 'changed' END AS status, a.h AS a, b.h AS b FROM a FULL JOIN b ON a.id = b.id) WHERE status IS NOT NULL""",
+        "token_costs": "SELECT source, round(sum((coalesce(n_chars, 0) * 0.5 + 100 * 2.0) / 1000000), 6) AS cost FROM documents GROUP BY source",
+        "unit_vectors": "SELECT DISTINCT id, round(e[1] / nullif(n, 0), 5) AS first, round(e[len(e)] / nullif(n, 0), 5) AS last FROM (SELECT id, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM chunk_vectors WHERE embedding IS NOT NULL)",
+        "prompt_assembly": f"""WITH {_TOPK}, s AS (SELECT q_id, string_agg('[' || rank || '] file: ' || coalesce(source, '') || ' | page: 1' || chr(10) || coalesce(text, ''), chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS x FROM hits JOIN documents ON doc_id = chunk_id GROUP BY q_id)
+            SELECT vec_id AS id, md5(coalesce(x || chr(10) || chr(10), '') || 'Question: question ' || vec_id) AS prompt FROM embeddings LEFT JOIN s ON vec_id = q_id WHERE vec_id % 20 = 0""",
+        "confidence_check": "SELECT confidence IS NULL OR (confidence >= 0 AND confidence <= 1) AS valid, count(*) AS n FROM (SELECT DISTINCT id, confidence FROM ask_responses) GROUP BY 1",
+        "manifest_urls": "SELECT c.id, listed FROM (SELECT DISTINCT id, file FROM chunks) c LEFT JOIN (SELECT file, min(url) AS listed FROM parsed_docs WHERE url IS NOT NULL GROUP BY file) u ON c.file = u.file",
+        "asked_by_hour": "SELECT strftime(date_trunc('hour', a), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS asked FROM (SELECT id, min(asked_at) AS a FROM ask_requests WHERE asked_at IS NOT NULL GROUP BY id) GROUP BY 1",
+    }
