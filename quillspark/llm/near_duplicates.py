@@ -112,18 +112,41 @@ def matched(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return lo[keep], hi[keep]
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sig = cls = np.zeros(0, np.int64)
-    for batch in batches:
-        sig = np.concatenate([sig, batch.column(0).to_numpy()])
-        cls = np.concatenate([cls, batch.column(1).to_numpy()])
-        whole = int(np.searchsorted(sig, sig[-1])) if len(sig) else 0
-        if whole:
-            a, b = matched(sig[:whole], cls[:whole])
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
-            sig, cls = sig[whole:], cls[whole:]
-    a, b = matched(sig, cls)
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+def _pairs(together: int):
+    """Pairs of each signature's classes; a signature of more than ``together`` gives only its own name, with a null class beside it."""
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, size = None, 0  # the run that goes on from one batch to the next; once too large it is counted, not held
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def out(sig: np.ndarray, cls: np.ndarray, large: list[int]) -> pa.RecordBatch:
+            a, b = matched(sig, cls)
+            b = pa.concat_arrays([pa.array(b), pa.nulls(len(large), pa.int64())])
+            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.array(large, pa.int64())]), b], ["a", "b"])
+
+        for batch in batches:
+            sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(sig):
+                continue
+            if held and size <= together:
+                sig, cls = np.concatenate([held[0][0], sig]), np.concatenate([held[0][1], cls])
+            elif held:
+                cut_at = int(np.searchsorted(sig, last, side="right"))
+                if cut_at == len(sig):
+                    continue
+                sig, cls = sig[cut_at:], cls[cut_at:]
+            heads = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            sizes = np.diff(np.r_[heads, len(sig)])
+            small = np.repeat(sizes <= together, sizes)
+            tail = int(heads[-1])
+            yield out(sig[:tail][small[:tail]], cls[:tail][small[:tail]], sig[heads[:-1][sizes[:-1] > together]].tolist())
+            last, size, held = sig[tail], len(sig) - tail, [(sig[tail:], cls[tail:])]
+            if size > together:
+                yield out(sig[:0], cls[:0], [int(last)])
+        if held and size <= together:
+            yield out(*held[0], [])
+
+    return pair
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, similarity: float = 0.5, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
@@ -139,22 +162,22 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
         raise ValueError("signatures are laid out for a similarity of 0.5 or more")
     kind = df.schema[key].dataType.simpleString()
     base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
-    base = base.mapInArrow(_sets(n_words), f"id {kind}, cls long, seqs array<long>")
+    base = cut(base.mapInArrow(_sets(n_words), f"id {kind}, cls long, seqs array<long>"))
     members = base.select("id", "cls").distinct()
     classes = cut(base.groupBy("cls").agg(F.first("seqs").alias("seqs")))
 
     signed = classes.mapInArrow(_signed, "sig long, cls long")
-    large = cut(signed.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > together).select("sig"))
-    hot = not large.isEmpty()
-    few = signed.join(large, "sig", "left_anti") if hot else signed
-    pairs = few.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs, "a long, b long")
-    if hot:
+    matches = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(together), "a long, b long").distinct())
+    pairs = matches.where("b is not null")
+    large = matches.where("b is null").select(F.col("a").alias("sig"))
+    if not large.isEmpty():
         within = signed.join(large, "sig", "left_semi")
         twice = within.join(signed.withColumnRenamed("sig", "other"), "cls").where("sig <> other").select(F.xxhash64("sig", "other").alias("sig"), "cls")
-        pairs = pairs.unionByName(twice.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs, "a long, b long"))
+        again = twice.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(1 << 40), "a long, b long")
+        pairs = pairs.unionByName(again).distinct()
     bits = classes.mapInArrow(_sketched, "cls long, b1 long, b2 long")
     one, two = bits.toDF("a", "a1", "a2"), bits.toDF("b", "b1", "b2")
-    near = pairs.distinct().join(one, "a").join(two, "b").where(
+    near = pairs.join(one, "a").join(two, "b").where(
         F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= BITS_APART
     ).select("a", "b")
     sets = near.join(classes.toDF("a", "sa"), "a").join(classes.toDF("b", "sb"), "b")
