@@ -252,7 +252,7 @@ _TRAILER = r"'(?i)[\s\x1c-\x1f\x{85}\p{Z}]*CITED:[\s\x1c-\x1f\x{85}\p{Z}]*(none|
 _EVALS = _ANSWERS + """, qs AS (SELECT id, min(question) AS question FROM ask_requests GROUP BY id),
     shaped AS (SELECT *, (length(id) + length(coalesce(answer, ''))) % 4 AS shape, CAST(1 + floor(coalesce(confidence, 0) * 4) AS DOUBLE) AS made FROM ans),
     cites AS (SELECT id, count(*) AS n, sum(CAST(ok AS INT)) AS met FROM (
-        SELECT id, g, bool_or(file = gfile AND page = gpage + off) AS ok FROM (
+        SELECT id, g, bool_or(file = gfile AND page IS NOT DISTINCT FROM gpage + off) AS ok FROM (
             SELECT a.id, i AS g, (i - 1) % 2 AS off, trim(replace(a.citations[i].file, '\\', '/'), '/') AS gfile, a.citations[i].page AS gpage, trim(replace(c.file, '\\', '/'), '/') AS file, c.page AS page
             FROM ans a, (SELECT unnest(range(1, 50)) AS i), unnest(a.citations) AS u(c) WHERE i <= len(a.citations)) GROUP BY id, g) GROUP BY id),
     evals AS (SELECT q.id, CASE WHEN s.shape < 3 THEN s.made END AS answer_score, coalesce(c.met / c.n, 1.0) AS citation_score, CASE WHEN s.shape < 3 THEN s.made = 1 END AS hallucinate,
