@@ -23,7 +23,7 @@ from quillspark.llm.common import cut, hash64, mix64
 SEGMENTS, SYMBOLS = 32, 5
 #: Of 128 bits, as many may differ: at a similarity of 0.5, 32 do on average, with a deviation of 4.9.
 BITS_APART = 50
-#: Members of one variant that are matched at once; larger ones are parted by their second variants.
+#: Members of one variant that are matched at once; those of larger ones are matched by their rarest sequences.
 TOGETHER = 512
 
 _WORD = re.compile(r"\w+")
@@ -96,20 +96,20 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["cls", "b1", "b2"])
 
 
-def matched(sig: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of neighbours in a sorted run of signatures, the smaller class first."""
-    at, left, right = np.arange(len(sig)), [], []
-    step = 1
+def matched(sig: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of neighbours in a sorted run of signatures, the smaller class first, some at a time."""
+    at, step, left, right, n = np.arange(len(sig)), 1, [], [], 0
     while len(at):
         at = at[at + step < len(sig)]
         at = at[sig[at + step] == sig[at]]
-        left.append(cls[at])
-        right.append(cls[at + step])
+        left.append(np.minimum(cls[at], cls[at + step]))
+        right.append(np.maximum(cls[at], cls[at + step]))
+        n += len(at)
         step += 1
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-    lo, hi = np.minimum(a, b), np.maximum(a, b)
-    keep = lo != hi
-    return lo[keep], hi[keep]
+        if n > 200_000 or not len(at):
+            lo, hi = np.concatenate(left), np.concatenate(right)
+            yield lo[lo != hi], hi[lo != hi]
+            left, right, n = [], [], 0
 
 
 def _pairs(together: int):
@@ -119,10 +119,10 @@ def _pairs(together: int):
         last, size = None, 0  # the run that goes on from one batch to the next; once too large it is counted, not held
         held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def out(sig: np.ndarray, cls: np.ndarray, large: list[int]) -> pa.RecordBatch:
-            a, b = matched(sig, cls)
-            b = pa.concat_arrays([pa.array(b), pa.nulls(len(large), pa.int64())])
-            return pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(a), pa.array(large, pa.int64())]), b], ["a", "b"])
+        def out(sig: np.ndarray, cls: np.ndarray, large: list[int]) -> Iterator[pa.RecordBatch]:
+            for a, b in matched(sig, cls):
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(large, pa.int64()), pa.nulls(len(large), pa.int64())], ["a", "b"])
 
         for batch in batches:
             sig, cls = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -139,12 +139,12 @@ def _pairs(together: int):
             sizes = np.diff(np.r_[heads, len(sig)])
             small = np.repeat(sizes <= together, sizes)
             tail = int(heads[-1])
-            yield out(sig[:tail][small[:tail]], cls[:tail][small[:tail]], sig[heads[:-1][sizes[:-1] > together]].tolist())
+            yield from out(sig[:tail][small[:tail]], cls[:tail][small[:tail]], sig[heads[:-1][sizes[:-1] > together]].tolist())
             last, size, held = sig[tail], len(sig) - tail, [(sig[tail:], cls[tail:])]
             if size > together:
-                yield out(sig[:0], cls[:0], [int(last)])
+                yield from out(sig[:0], cls[:0], [int(last)])
         if held and size <= together:
-            yield out(*held[0], [])
+            yield from out(*held[0], [])
 
     return pair
 
@@ -155,8 +155,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
 
     Words are runs of letters, digits and underscores in lower case. Nulls, empty and shorter texts belong to no class. Rows alike in
     both columns count once; a null key is a key. Signatures are laid out for a similarity of 0.5: a pair at 0.5
-    is missed once in a thousand times, at 0.6 once in ten millions. No group is gathered or capped: a variant of more
-    than ``together`` classes is parted by each of its members' other variants, which such a pair shares several of.
+    is missed once in a thousand times, at 0.6 once in ten millions. No group is capped: members of a variant of more than
+    ``together`` classes are matched by a prefix of their rarest sequences, which misses none.
     """
     if similarity < 0.5:
         raise ValueError("signatures are laid out for a similarity of 0.5 or more")
@@ -171,9 +171,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
     pairs = matches.where("b is not null")
     large = matches.where("b is null").select(F.col("a").alias("sig"))
     if not large.isEmpty():
-        within = signed.join(large, "sig", "left_semi")
-        twice = within.join(signed.withColumnRenamed("sig", "other"), "cls").where("sig <> other").select(F.xxhash64("sig", "other").alias("sig"), "cls")
-        again = twice.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(1 << 40), "a long, b long")
+        # Their classes are matched by their rarest sequences instead: two sets as similar share one of the first of any common order.
+        hot = signed.join(large, "sig", "left_semi").select("cls").distinct().join(classes, "cls")
+        each = hot.select("cls", F.size("seqs").alias("n"), F.explode("seqs").alias("sig"))
+        order = each.join(each.groupBy("sig").count(), "sig").groupBy("cls", "n").agg(F.array_sort(F.collect_list(F.struct("count", "sig"))).alias("x"))
+        rare = order.select("cls", F.explode(F.slice("x", F.lit(1), F.col("n") - F.ceil(F.col("n") * similarity).cast("int") + 1)).alias("e")).select(F.col("e.sig").alias("sig"), "cls")
+        again = rare.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(1 << 40), "a long, b long")
         pairs = pairs.unionByName(again).distinct()
     bits = classes.mapInArrow(_sketched, "cls long, b1 long, b2 long")
     one, two = bits.toDF("a", "a1", "a2"), bits.toDF("b", "b1", "b2")
