@@ -30,41 +30,32 @@ def boundary_pattern(limit: int, overlap: int) -> str:
     return "(?sU)" + "|".join([rf".{{1,{n}}}\z", *strong, rf".{{0,{n - 1}}}{WS}", *run, rf".{{1,{n}}}"])
 
 
-def split_pieces(text: Column, limit: int = 1500, overlap: int = 200) -> Column:
-    """array<struct<start,stop,forced,text>> of ``text``: offsets in code points, from 0; ``forced`` marks a piece whose end
-    lies inside a run without white space.
+def split_texts(df: DataFrame, text: str = "text", limit: int = 1500, overlap: int = 200, out: str = "pieces") -> DataFrame:
+    """``df`` with array<struct<start,stop,forced,text>> of the pieces of its texts in ``out``: offsets in code points, from 0; ``forced``
+    marks a piece whose end lies inside a run without white space.
 
-    A text within the limit is one piece; an empty or null text gives an empty array. Pieces without their overlap,
-    one after another, are the text again. The text of a piece's overlap is looked back for in what precedes it.
+    A text within the limit is one piece; an empty or null text gives an empty array. Pieces without their overlap, one after
+    another, are the text again. Other columns, their nulls and repeated rows stay as they are; an empty table stays empty;
+    ``out`` replaces a column of that name. The work grows with the length of a text, however many pieces it has.
     """
-    parts = F.when(F.length(text) <= limit, F.array(text)).otherwise(
-        F.regexp_extract_all(text, F.lit(boundary_pattern(limit, overlap)), F.lit(0))
-    )
-    parts = F.when(F.length(text) > 0, parts).otherwise(F.array().cast("array<string>"))
-    kind = "array<struct<start:int,stop:int,open:boolean,text:string>>"
-    zero = F.struct(F.lit("").alias("tail"), F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
-
-    def step(acc: Column, part: Column) -> Column:
-        back = F.least(F.lit(overlap), F.lit(limit) - F.length(part), F.length(acc["tail"]))
-        head = F.when(back > 0, F.right(acc["tail"], back)).otherwise(F.lit(""))
-        stop = (acc["at"] + F.length(part)).cast("int")
-        piece = F.struct(
-            (acc["at"] - back).cast("int").alias("start"), stop.alias("stop"),
-            (~part.rlike(rf"(?U){WS}\z")).alias("open"), F.concat(head, part).alias("text"),
+    pattern = boundary_pattern(limit, overlap)
+    given = F.col(f"`{text}`")
+    whole = F.when(F.length(given) <= limit, F.array(given)).otherwise(F.regexp_extract_all(given, F.lit(pattern), F.lit(0)))
+    # Generators of one row each, past which the optimizer doesn't copy an expression into every use of it.
+    cut_up = df.select("*", F.explode(F.array(F.when(F.length(given) > 0, whole).otherwise(F.array().cast("array<string>")))).alias("__parts__"))
+    ends = F.aggregate("__parts__", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
+    parts = F.col("__parts__")
+    # Any two parts in a row have at least limit - overlap code points, so that so many hold the overlap.
+    before = 2 * -(-overlap // (limit - overlap)) + 1
+
+    def piece(p: Column, i: Column) -> Column:
+        head = F.array_join(F.slice(parts, F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before))), "")
+        back = F.least(F.lit(overlap), F.lit(limit) - F.length(p), F.length(head))
+        stop = F.get("__ends__", i + 1)
+        return F.struct(
+            (stop - F.length(p) - back).alias("start"), stop.alias("stop"),
+            (~p.rlike(rf"(?U){WS}\z") & F.coalesce(F.get(parts, i + 1).rlike(rf"(?U)\A{NOT_WS}"), F.lit(False))).alias("forced"),
+            F.concat(F.right(head, back), p).alias("text"),
         )
-        keep = F.when(F.length(part) >= overlap, part).otherwise(F.concat(acc["tail"], part))
-        tail = F.when(F.lit(overlap) > 0, F.right(keep, F.lit(max(overlap, 1)))).otherwise(F.lit(""))
-        return F.struct(tail.alias("tail"), stop.alias("at"), F.concat(acc["out"], F.array(piece)).alias("out"))
-
-    done = F.aggregate(parts, zero, step, lambda acc: acc["out"])
-    after = F.concat(F.transform(F.slice(parts, 2, F.greatest(F.size(parts), F.lit(1))), lambda p: p.rlike(rf"(?U)\A{NOT_WS}")), F.array(F.lit(False)))
-    return F.when(F.size(done) > 0, F.zip_with(
-        done, after,
-        lambda d, a: F.struct(d["start"].alias("start"), d["stop"].alias("stop"), (d["open"] & a).alias("forced"), d["text"].alias("text")),
-    )).otherwise(F.array().cast("array<struct<start:int,stop:int,forced:boolean,text:string>>"))
 
-
-def split_texts(df: DataFrame, text: str = "text", limit: int = 1500, overlap: int = 200, out: str = "pieces") -> DataFrame:
-    """``df`` with the column ``out`` of its texts' pieces (see split_pieces). Other columns, their nulls and repeated rows
-    stay as they are; an empty table stays empty; ``out`` replaces a column of that name."""
-    return df.withColumn(out, split_pieces(F.col(f"`{text}`"), limit, overlap))
+    return cut_up.select("*", F.explode(F.array(ends)).alias("__ends__")).withColumn(out, F.transform(parts, piece)).drop("__parts__", "__ends__")
