@@ -39,9 +39,12 @@ ORDINARY = r"\A[\n -~À-ÖØ-öø-ÿא-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–
 _SCRIPTS = {"L": "A-Za-zÀ-ɏ", "C": "Ѐ-ӿ", "G": "Ͱ-Ͽ"}
 _HAS = {s: re.compile(f"[{r}]").search for s, r in _SCRIPTS.items()}
 _SCRIPT = {s: re.compile(f"[{r}]").match for s, r in _SCRIPTS.items()}
-_WORD = re.compile(r"(?:[A-Za-zÀ-ɏЀ-ӿͰ-Ͽ][̀-ͯ]*)+")
+_WORD = re.compile("[A-Za-zÀ-ɏЀ-ӿͰ-Ͽ][A-Za-zÀ-ɏЀ-ӿͰ-Ͽ̀-ͯ]*")
 _ARABIC = re.compile(r"[ء-ۓ]+")
 _PERSIAN = re.compile("[کی]")
+_EITHER = re.compile(f"{_WORD.pattern}|{_ARABIC.pattern}")
+# Texts without these hold at most one of the scripts that have look-alikes.
+_RARE = re.compile("[Ͱ-ӿکی]").search
 _TO = {s: {c: row[k] for row in LOOK_ALIKE for c in row if c != "." and row[k] != "." and c != row[k]} for k, s in enumerate("LCG")}
 _ALIKE = {c for row in LOOK_ALIKE for c in row if c != "."}
 
@@ -101,6 +104,10 @@ def pieces(text: str, words: set[str] | None = None) -> tuple[list[str], list[tu
     """The plain text, cut so that each word with candidates stands alone, and these words with their candidates. ``words``: gets the
     words in order, of the scripts that look-alikes belong to."""
     text = plain(text)
+    if not _RARE(text):
+        if words is not None:
+            words.update(_EITHER.findall(text))
+        return [text], []
     foreign = sum(bool(has(text)) for has in _HAS.values())
     persian = _PERSIAN.search(text)
     if foreign < 2 and not persian:

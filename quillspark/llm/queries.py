@@ -125,6 +125,17 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p4_found": r"""
+            WITH w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL)),
+            s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
+            n AS (SELECT id, count(*) AS n FROM s GROUP BY id),
+            p AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.id < b.id GROUP BY ALL)
+            SELECT id_a, id_b FROM p JOIN n x ON x.id = id_a JOIN n y ON y.id = id_b WHERE 2 * k >= x.n + y.n - k""",
+        "p5_found": r"""
+            WITH v AS (SELECT DISTINCT id, embedding::DOUBLE[] AS e FROM chunk_vectors WHERE embedding IS NOT NULL), u AS (SELECT * FROM v WHERE list_dot_product(e, e) > 0),
+            s AS (SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.e, b.e) AS c FROM u a, u b WHERE a.id <> b.id),
+            r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY c DESC, b) AS n FROM s)
+            SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM r WHERE n <= 10 AND c >= 0.9""",
         "p7_found": r"""
             SELECT DISTINCT file, p.page AS page, CAST(regexp_matches(regexp_replace(p.text, '[\s\x1c-\x1f\x{85}\p{Z}]', ' ', 'g'), '[^ ]{751}[^ ]{750}') AS INTEGER) AS forced
             FROM (SELECT file, unnest(pages) AS p FROM parsed_docs) WHERE length(p.text) > 1500""",
