@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,9 +24,7 @@ def index_records(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 def _scorer(ids: list, q: np.ndarray, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_s, held_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (big.slice(at, 1000) for big in batches for at in range(0, big.num_rows, 1000)):
             x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
             names = np.empty(b.num_rows, object)
@@ -59,6 +58,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vec
     spark, kind = index.sparkSession, index.schema[key].dataType.simpleString()
     q_kind = queries.schema["id"].dataType.simpleString()
     records = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
+    if len(rows) > block:  # each block is a pass; the records are made once
+        records = records.persist(StorageLevel.MEMORY_AND_DISK)
     found = spark.createDataFrame([], f"q_id {q_kind}, chunk_id {kind}, score double")
     for at in range(0, len(rows), block):
         part = rows[at : at + block]
