@@ -223,10 +223,10 @@ def look_alike_pairs(forms: DataFrame, group: list[str], key: str, text: str, fo
     Rows of one key and text count once; nulls have no pairs. Copies of one text are no pairs, so a text repeated very often gives
     pairs only with its variants; classes of copies, not rows, are matched by the form.
     """
-    rows = forms.where(F.col(form).isNotNull() & F.col(key).isNotNull()).select(
-        *group, F.col(key).alias("key"), F.xxhash64(form).alias("f1"), F.md5(F.col(form)).alias("f2"), F.sha2(F.col(text), 256).alias("raw")
-    ).distinct()
-    by = [*group, "f1", "f2"]
+    rows = cut(forms.where(F.col(form).isNotNull() & F.col(key).isNotNull()).select(
+        *group, F.col(key).alias("key"), F.unhex(F.md5(F.col(form))).alias("same"), F.xxhash64(text).alias("raw")
+    ).distinct())
+    by = [*group, "same"]
     several = rows.groupBy(*by).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*by)
     rows = rows.join(several, by, "left_semi")
     other = rows.select(*by, F.col("key").alias("key2"), F.col("raw").alias("raw2"))
