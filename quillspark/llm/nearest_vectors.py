@@ -24,7 +24,7 @@ _FOUND = np.dtype([("other", "<i8"), ("cos", "<f4")])
 @dataclass(frozen=True)
 class Search:
     """Parameters of the search. ``sample``: vectors the trees are fitted on, at most. ``leaf``: vectors a leaf should have.
-    ``visits``: leaves a query looks into. ``block``: vectors of one leaf that a task holds at once; a larger leaf is parted."""
+    ``visits``: leaves of that size a query looks into; of smaller ones as many as hold as much. ``block``: vectors of one leaf that a task holds at once; a larger leaf is parted."""
 
     trees: int = 6
     leaf: int = 1600
@@ -218,6 +218,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     vectors = cut(units.groupBy("cls").agg(F.first("vec").alias("vec")))
     n = vectors.count()
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / search.leaf))), int(np.log2(max(1, search.sample / 16)))))
+    visits = max(search.visits, int(np.ceil(search.visits * search.leaf * (1 << depth) / max(1, n))))  # smaller leaves, more of them
     share = max(1, n // search.sample)
     taken = [r.vec for r in vectors.where(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0).select("vec").limit(search.sample).collect()]
     forest = fit_forest(np.frombuffer(b"".join(taken), np.float32).reshape(-1, dim), depth, search.trees if depth else 1, search.seed)
@@ -225,7 +226,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     if n * 2 > search.block << depth:  # only then a leaf may exceed a block; one row a leaf, of which there are few
         counted = vectors.mapInArrow(_leaf_only(forest, dim), "leaf int").groupBy("leaf").count().where(F.col("count") > search.block).collect()
         parts = {r["leaf"]: -(-r["count"] // search.block) for r in counted}
-    laid = vectors.select("cls", "vec").mapInArrow(_laid_out(forest, dim, search.visits, parts), "leaf int, part int, role int, cls long, vec binary")
+    laid = vectors.select("cls", "vec").mapInArrow(_laid_out(forest, dim, visits, parts), "leaf int, part int, role int, cls long, vec binary")
     scored = laid.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "role").mapInArrow(_ranked(dim, k), "cls long, found binary")
     top = scored.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged(k), "cls long, other long, cos float")
 
