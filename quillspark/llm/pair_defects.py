@@ -46,8 +46,6 @@ _LATIN_LOW = re.compile(r"(?<![A-Za-zÀ-ɏ])[a-zß-ÿ][A-Za-zÀ-ɏ]*")
 
 #: Words a prompt may be led in by in a response that only gives it back.
 LEAD_IN = 6
-#: Sentences of a response that may be all refusal and pleasantries.
-SENTENCES = 6
 
 
 def body(answer: str | None) -> str:
@@ -89,7 +87,7 @@ def copies(prompt: list[str], answer: list[str]) -> bool:
 
 def look(prompt: str | None, answer: str | None) -> tuple[str | None, bool, bool, bool, list[str]]:
     """The defect the pair shows by itself, if any; whether the answer's end is open, and stands in a line of its own; whether it
-    refuses in known words; the templates of its sentences, if they are few."""
+    refuses in known words; the templates of all its sentences."""
     said = body(answer)
     text = folded(said)
     words = _WORD.findall(text.casefold().replace("_", " "))
@@ -107,8 +105,7 @@ def look(prompt: str | None, answer: str | None) -> tuple[str | None, bool, bool
     opened = bool(last) and not (_TOTAL.match(last) or _END.search(last)) or bool(_DOTS.search(text))
     own_line = last == text.rsplit("\n", 1)[-1].strip()
     masked = set(asked_words)
-    templates = [template(s, masked) for s in sentences] if len(sentences) <= SENTENCES else [template(last, masked)] if opened and own_line else []
-    return defect, opened, own_line, cued and len(sentences) <= SENTENCES, templates
+    return defect, opened, own_line, cued, [template(s, masked) for s in sentences]
 
 
 def template(sentence: str, masked: set[str]) -> str:

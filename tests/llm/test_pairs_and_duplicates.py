@@ -46,6 +46,16 @@ def test_pair_defects(spark):
     assert pair_defects(q.where("false"), r).count() == 0 == pair_defects(q, r.where("false")).count()
 
 
+def test_long_answers(spark):
+    topics = ["apples", "pears", "plums", "figs", "nuts", "beans", "peas", "corn"]
+    parts = ["Our house does never speak on {} to strangers.", "It is nothing that we hold against you.", "Many others were told so before you came.", "We wish you well on all your ways.", "Nobody here will say more on that matter.", "There are other houses in this long street.", "Please do come back with other questions soon."]
+    asked = [(f"r{k}", f"what about {t} today?") for k, t in enumerate(topics)] + [(f"c{k}", f"where do {t} grow?") for k, t in enumerate(topics)]
+    said = [(f"r{k}", " ".join(parts).format(t)) for k, t in enumerate(topics)]
+    said += [(f"c{k}", " ".join(f"{w * (k + 2)} {w * 3}{k} stands {w * 2}{k}." for w in "abdefgh") + "\nWith kind regards from your old friends") for k in range(8)]
+    got = pair_defects(spark.createDataFrame(asked, "id string, question string"), spark.createDataFrame(said, "id string, answer string"))
+    assert {r.id: r.defect for r in got.collect()} == {f"r{k}": "refusal" for k in range(8)}
+
+
 def brute(rows):
     sets = []
     for k, t in rows:
