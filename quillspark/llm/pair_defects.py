@@ -2,7 +2,8 @@
 
 Copies, languages and endings are seen in the pair itself. Refusals are not: what they say differs by model and language. Their
 sentences, with the prompt's own words masked, are clustered by verified MinHash; a template that recurs across unrelated
-prompts and, wherever it stands, stands with other such templates only, gives no content: it refuses.
+prompts and, wherever it stands, stands with other such templates only, gives no content: it refuses. A template too rare for
+that refuses if it has a known refusing phrase and all else in the answer recurs.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from quillspark.llm.eyeform import folded
 
 # What systems write for no answer at all.
 PLACEHOLDERS = {"null", "none", "nil", "nan", "na", "n a", "missing", "undefined", "empty", "tbd", "אין", "нет ответа", "לא זמין", "غير متوفر"}
-# Openings by which a refusal is known even where its template is too rare to tell.
+# Phrases by which a refusal is known where its template is too rare to tell and nothing else in the answer gives content.
 REFUSALS = [
     r"\bi(?: a|')?m sorry,? but i (?:can(?:'|no)t|am unable)", r"\bi(?: a|')m (?:unable|not able|not allowed) to (?:answer|help|assist|comment|discuss|reply)",
     r"\bi can(?:'|no)?t (?:help|assist|answer|comment|discuss)", r"\bi would rather not\b", r"\bas an? (?:ai|virtual|digital|language)\b.*\b(?:unable|cannot|can't|not)\b",
-    r"\b(?:outside|beyond)(?: of)? (?:what i can|my)\b", r"\bnot enough information\b.*\b(?:me|answer|reply)\b", r"\bnothing i was given lets me\b",
+    r"\b(?:outside|beyond)(?: of)? what i can\b", r"\b(?:this|that|it|which|topic|question|request|matter)(?: is| falls| lies|'s) (?:outside|beyond)(?: of)? my\b", r"\bnot enough information\b.*\b(?:me|answer|reply)\b", r"\bnothing i was given lets me\b",
     r"אין באפשרותי", r"לא אוכל (?:לעזור|לענות|לסייע|להשיב)", r"איני (?:מוסמך|יכול|רשאי)", r"אין לי מספיק מידע", r"מעדיף לא להתייחס", r"חורגת ממה שאני", r"לא מצאתי במקורות",
     r"я не могу (?:ответить|помочь)", r"не вправе это обсуждать", r"у меня недостаточно данных", r"выходит за рамки моих",
     r"لا أستطيع الإجابة", r"لا يمكنني (?:التعليق|الإجابة|المساعدة)", r"ليست لدي معلومات كافية", r"خارج نطاق ما أستطيع",
@@ -40,6 +41,8 @@ _TOTAL = re.compile(r"[^\W\d_][^:.!?\n]{0,40}:\s*[^\w\s]?\s*\d[\d.,]*\s*(?:[^\w\
 _END = re.compile(r"[.!?؟][\"'”»)\]]*\Z")
 _DOTS = re.compile(r"(?:\.\.|…)[\"'”»)\]]*\Z")
 _REFUSAL = re.compile("|".join(REFUSALS))
+# What comes after one of these in a refusing sentence is read for itself.
+_BUT = re.compile(r"[,;:–—-]\s+(?:but|however|though|yet|אבל|אך|אולם|но|однако|لكن|ولكن|غير أن)\b")
 _SCRIPTS = {"latin": "A-Za-zÀ-ɏ", "hebrew": "֐-׿", "cyrillic": "Ѐ-ӿ", "arabic": "؀-ۿ"}
 _OF = {s: re.compile(rf"[{r}]+") for s, r in _SCRIPTS.items()}
 _LATIN_LOW = re.compile(r"(?<![A-Za-zÀ-ɏ])[a-zß-ÿ][A-Za-zÀ-ɏ]*")
@@ -85,27 +88,42 @@ def copies(prompt: list[str], answer: list[str]) -> bool:
     return False
 
 
-def look(prompt: str | None, answer: str | None) -> tuple[str | None, bool, bool, bool, list[str]]:
+def look(prompt: str | None, answer: str | None) -> tuple[str | None, bool, bool, bool, list[str], list[str]]:
     """The defect the pair shows by itself, if any; whether the answer's end is open, and stands in a line of its own; whether it
-    refuses in known words; the templates of all its sentences."""
+    refuses in known words; the templates of all its sentences; if it refuses so, those of all it says besides, with the prompt's words masked
+    and not, one after the other."""
     said = body(answer)
     text = folded(said)
     words = _WORD.findall(text.casefold().replace("_", " "))
     if not words or " ".join(words) in PLACEHOLDERS:
-        return "empty", False, False, False, []
+        return "empty", False, False, False, [], []
     asked = folded(prompt or "")
     asked_words = _WORD.findall(asked.casefold())
     if copies(asked_words, words):
-        return "copy", False, False, False, []
+        return "copy", False, False, False, [], []
     text = _LINK.sub("", text)
     sentences = [s for s in _SPLIT.split(text) if s.strip()]
     cued = bool(_REFUSAL.search(text.casefold()))
-    defect = "wrong_language" if other_language(asked, text) and not cued else None
+    defect = "wrong_language" if other_language(asked, text) else None
     last = sentences[-1].strip() if sentences else ""
     opened = bool(last) and not (_TOTAL.match(last) or _END.search(last)) or bool(_DOTS.search(text))
     own_line = last == text.rsplit("\n", 1)[-1].strip()
     masked = set(asked_words)
-    return defect, opened, own_line, cued, [template(s, masked) for s in sentences]
+    return defect, opened, own_line, cued, [template(s, masked) for s in sentences], [template(s, m) for s in besides(sentences) for m in (masked, set())] if cued else []
+
+
+def besides(sentences: list[str]) -> list[str]:
+    """The sentences without a known refusing phrase, and the parts without one of those that have it and go on with a contrast."""
+    out: list[str] = []
+    for s in sentences:
+        s = s.casefold()
+        if not _REFUSAL.search(s):
+            out.append(s)
+        elif _BUT.search(s):
+            whole = _REFUSAL.sub(lambda m: " " * len(m.group()), s)  # a contrast within the phrase parts nothing
+            at = [0, *(m.start() for m in _BUT.finditer(whole)), len(s)]
+            out += [s[a:b] for a, b in zip(at, at[1:], strict=False) if not whole[a:b].isspace() and whole[a:b] == s[a:b]]
+    return out
 
 
 def template(sentence: str, masked: set[str]) -> str:
@@ -122,11 +140,11 @@ def _look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         questions, answers = batch.column(1).to_pylist(), batch.column(2).to_pylist()
         rows = [look(q, a) for q, a in zip(questions, answers, strict=True)]
-        defect, opened, own, cued, templates = zip(*rows, strict=True) if rows else ([], [], [], [], [])
+        defect, opened, own, cued, templates, others = zip(*rows, strict=True) if rows else ([], [], [], [], [], [])
         asked = pa.array([hash64(q.encode("utf-8", "surrogatepass")) if q is not None else 0 for q in questions], pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), asked, pa.array(defect, pa.string()), pa.array(opened, pa.bool_()), pa.array(own, pa.bool_()), pa.array(cued, pa.bool_()), pa.array(templates, pa.list_(pa.string()))],
-            ["id", "asked", "defect", "opened", "own_line", "cued", "templates"],
+            [batch.column(0), asked, pa.array(defect, pa.string()), pa.array(opened, pa.bool_()), pa.array(own, pa.bool_()), pa.array(cued, pa.bool_()), pa.array(templates, pa.list_(pa.string())), pa.array(others, pa.list_(pa.string()))],
+            ["id", "asked", "defect", "opened", "own_line", "cued", "templates", "others"],
         )
 
 
@@ -172,7 +190,7 @@ def pair_defects(requests: DataFrame, responses: DataFrame, key: str = "id", pro
     said = responses.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(answer).alias("answer"))
     kind = requests.schema[key].dataType.simpleString()
     seen = asked.join(said, "id").select("id", "prompt", "answer").mapInArrow(
-        _look, f"id {kind}, asked long, defect string, opened boolean, own_line boolean, cued boolean, templates array<string>"
+        _look, f"id {kind}, asked long, defect string, opened boolean, own_line boolean, cued boolean, templates array<string>, others array<string>"
     )
     seen = cut(seen)
     total = seen.agg(F.greatest(F.lit(3.0), F.count(F.lit(1)) * share).alias("least"))  # one row
@@ -186,12 +204,17 @@ def pair_defects(requests: DataFrame, responses: DataFrame, key: str = "id", pro
     alone = per_answer.select(F.explode("heads").alias("head"), (F.col("content") == 0).cast("int").alias("alone")).groupBy("head").agg(F.avg("alone").alias("alone"))
     refusing = alone.where("alone >= 0.9").where(F.size(words_of(F.col("head"))) >= 5).select("head")
     refused = per_answer.where("content = 0").select("id", F.explode("heads").alias("head")).join(refusing, "head", "left_semi").select("id").distinct().withColumn("refused", F.lit(True))
+    # A sentence recurs if it does with the prompt's words masked or as it stands.
+    besides_it = seen.where("cued").select("id", F.posexplode("others").alias("k", "template")).select("id", F.floor(F.col("k") / 2).alias("k"), "template")
+    recurs = (F.col("template").isin("", "_") | F.col("known").isNotNull()).alias("recurs")
+    told = besides_it.join(known.select("template", F.lit(True).alias("known")), "template", "left").select("id", "k", recurs)
+    telling = told.groupBy("id", "k").agg(F.max("recurs").alias("recurs")).where("not recurs").select("id").distinct().withColumn("tells", F.lit(True))
     # Ends without a mark that are whole lines known from elsewhere: closings, brief answers.
     ends = seen.where("opened and own_line and size(templates) > 0").select("id", F.element_at("templates", -1).alias("template")).join(known.select("template"), "template", "left_semi").select("id").withColumn("closed", F.lit(True))
-    out = seen.select("id", "defect", "opened", "cued").join(refused, "id", "left").join(ends, "id", "left")
+    out = seen.select("id", "defect", "opened", "cued").join(refused, "id", "left").join(ends, "id", "left").join(telling, "id", "left")
     defect = (
         F.when(F.col("defect").isin("empty", "copy"), F.col("defect"))
-        .when(F.col("cued") | F.col("refused"), F.lit("refusal"))
+        .when(F.col("cued") & F.col("tells").isNull() | F.col("refused"), F.lit("refusal"))
         .when(F.col("opened") & F.col("closed").isNull(), F.lit("truncated"))
         .otherwise(F.col("defect"))
     )

@@ -56,6 +56,13 @@ def test_long_answers(spark):
     assert {r.id: r.defect for r in got.collect()} == {f"r{k}": "refusal" for k in range(8)}
 
 
+def test_phrases_with_content(spark):
+    said = ["I can't comment on the roof, but the deductible is 500.", "A flood outside my own district is paid for too.", "I can't help with that. The roof is paid for in full.", "I'm sorry, but I can't help with that.", "I can't answer this one, dear friend."]
+    q = spark.createDataFrame([(str(k), f"what about number {k}?") for k in range(6)], "id string, question string")
+    r = spark.createDataFrame([(str(k), t) for k, t in enumerate([*said, "I can't discuss. Новая крыша дома стоит пятьсот рублей и её меняют за три дня без всякой доплаты."])], "id string, answer string")
+    assert {x.id: x.defect for x in pair_defects(q, r).collect()} == {"3": "refusal", "4": "refusal", "5": "wrong_language"}
+
+
 def brute(rows):
     sets = []
     for k, t in rows:
