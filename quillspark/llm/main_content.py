@@ -24,6 +24,8 @@ from quillspark.llm.eyeform import folded
 
 #: Pages the labeller is trained on, at most; hashed words; sizes of the word vectors and of each direction's state.
 SAMPLE, WORDS, WORD_DIM, STATE = 1500, 8192, 16, 24
+#: Blocks in a row that the labeller is trained on at once; longer pages are parted.
+STRETCH = 400
 
 # Signs of blocks that are not a page's own content, in the languages of the tables.
 SIGNS = {
@@ -80,7 +82,7 @@ class Reader:
                 n < 12, 12 <= n < 30, 30 <= n < 70, 70 <= n < 160, n >= 160, bool(_BULLET.match(x)), bool(_END.search(x)), x.endswith("?"),
                 x.count(" | ") > 1 or x.count(" · ") > 1, bool(_CRUMB.search(x)), digits * 5 > n, ":" in x, *signs(x),
             ]
-            got = ([float(v) for v in path], [hash64(w.encode("utf-8", "surrogatepass")) % WORDS for w in dict.fromkeys(words[:40] + words[-4:])])
+            got = ([float(v) for v in path], [hash64(w.encode("utf-8", "surrogatepass")) % WORDS for w in dict.fromkeys(words)])
             if n < 160:
                 if len(self.known) > 50_000:
                     self.known.clear()
@@ -238,9 +240,10 @@ def train(texts: list[str], seed: int = 5) -> Labeller:
     reader, labeller = Reader(), Labeller(seed)
     read = [reader.page(t) for t in texts if t.strip()]
     labels = [weak_labels(t) for t in texts if t.strip()]
-    keep = [k for k, r in enumerate(read) if r[0] and len(r[0]) == len(labels[k]) and len(r[0]) <= 400]
-    if keep:
-        labeller.fit([read[k][1:] for k in keep], [labels[k] for k in keep])
+    keep = [k for k, r in enumerate(read) if r[0] and len(r[0]) == len(labels[k])]
+    parts = [(k, slice(a, a + STRETCH)) for k in keep for a in range(0, len(labels[k]), STRETCH)]
+    if parts:
+        labeller.fit([(read[k][1][p], read[k][2][p]) for k, p in parts], [labels[k][p] for k, p in parts])
     return labeller
 
 

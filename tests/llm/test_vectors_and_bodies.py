@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from quillspark.llm.main_content import Labeller, blocks, main_lines, train, weak_labels
+from quillspark.llm.main_content import Labeller, Reader, blocks, main_lines, train, weak_labels
 from quillspark.llm.nearest_vectors import Search, nearest_vectors
 
 
@@ -104,3 +104,19 @@ def test_gradients_are_those_of_the_loss():
 
 def test_train_on_nothing():
     assert isinstance(train([]), Labeller)
+
+
+def test_all_words_of_a_block_are_read():
+    words = [f"word{k}" for k in range(100)]
+    _, _, whole = Reader().page(" ".join(words))
+    _, _, each = Reader().page("\n".join(words))
+    assert set(whole[0]) == {w for ws in each for w in ws}
+
+
+def test_long_pages_are_trained_on():
+    rng = np.random.default_rng(6)
+    texts = [page(k, rng).replace("related articles", "\n".join(f"It says {n} here." for n in range(450)) + "\nrelated articles") for k in range(6)]
+    labeller = train(texts)
+    read = [Reader().page(t) for t in texts]
+    right = [(v > 0) == bool(y) for r, t in zip(read, texts, strict=True) for v, y in zip(labeller.scores([r[1:]])[0], weak_labels(t), strict=True)]
+    assert np.mean(right) > 0.98
