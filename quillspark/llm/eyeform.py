@@ -2,7 +2,7 @@
 
 Invisible characters go, compatibility forms and composed letters are normalised, blanks in a row become one. Look-alike letters
 are repaired by script: a word's dominant script is that of its letters that resemble no other script's; only words that mix
-scripts, and words made of look-alikes alone in a line of another script, are touched, and only if the repaired word is found
+scripts, and words made of look-alikes alone in a line of another script (Latin counts as the script of a line without one), are touched, and only if the repaired word is found
 in the corpus.
 """
 
@@ -29,13 +29,15 @@ aаα cсϲ eе. hһ. iіι jјϳ oоο pрρ sѕ. u.υ v.ν xхχ yуγ ËЁ. 
 PERSIAN = {"ک": "ك", "ی": "يى"}
 # Marks that look like a mark of another script.
 MARKS = {"׳": "'", "״": '"', "‐": "-", "‑": "-", "־": "-"}
+# Cyrillic letters of few languages that look like one letter wherever they stand.
+RARE_LETTERS = {"Ӏ": "І", "ԁ": "d", "ԛ": "q", "ԝ": "w", "Ԛ": "Q", "Ԝ": "W"}
 
 _GONE = re.compile(f"[{INVISIBLE}]")
 _BLANKS = re.compile(r"[^\S\n]{2,}|[^\S\n ]")
 _EDGES = re.compile(r" \n ?|\n ")
-_PLAIN = re.compile(r"[\n -~א-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–—؟،]*").fullmatch
-# Texts of these characters only need no repair but of blanks, unless Latin and Cyrillic letters meet in them.
-ORDINARY = r"\A[\n -~À-ÖØ-öø-ÿא-תء-غف-يЀ-ҁҊ-ӿ₪©·«»•–—؟،]*\z"
+_PLAIN = re.compile(r"[\n -~א-תء-غف-يЀ-ҁҊ-ҿӁ-ӿ₪©·«»•–—؟،]*").fullmatch
+# Texts of these characters only need no repair but of blanks, unless Latin and Cyrillic letters meet in them or a line is of UNTOLD.
+ORDINARY = r"\A[\n -~À-ÖØ-öø-ÿא-תء-غف-يЀ-ҁҊ-ҿӁ-ӿ₪©·«»•–—؟،]*\z"
 _SCRIPTS = {"L": "A-Za-zÀ-ɏ", "C": "Ѐ-ӿ", "G": "Ͱ-Ͽ"}
 _HAS = {s: re.compile(f"[{r}]").search for s, r in _SCRIPTS.items()}
 _SCRIPT = {s: re.compile(f"[{r}]").match for s, r in _SCRIPTS.items()}
@@ -47,13 +49,19 @@ _EITHER = re.compile(f"{_WORD.pattern}|{_ARABIC.pattern}")
 _RARE = re.compile("[Ͱ-ӿکی]").search
 _TO = {s: {c: row[k] for row in LOOK_ALIKE for c in row if c != "." and row[k] != "." and c != row[k]} for k, s in enumerate("LCG")}
 _ALIKE = {c for row in LOOK_ALIKE for c in row if c != "."}
+# A line with Cyrillic or Greek letters, all of which look like another script's.
+_OWN = "".join(c for c in map(chr, range(0x370, 0x500)) if c not in _ALIKE)
+UNTOLD = rf"(?m)^[^{_OWN}\n]*[Ͱ-ӿ][^{_OWN}\n]*$"
+_UNTOLD = re.compile(UNTOLD).search
+# The script of look-alikes where the line has none of the three; only for repairs that the corpus must know.
+FIXED = "L"
 
 
 def plain(text: str) -> str:
     """``text`` without differences of single characters that need no context."""
     if not _PLAIN(text):
         text = unicodedata.normalize("NFKC", _GONE.sub("", text))
-        for mark, same in MARKS.items():
+        for mark, same in (MARKS | RARE_LETTERS).items():
             text = text.replace(mark, same)
     elif "  " not in text and "\n " not in text and " \n" not in text:
         return text.strip(" ")
@@ -100,9 +108,9 @@ def arabic_candidates(word: str) -> list[str]:
     return [made, made[:-1] + PERSIAN["ی"][1]] if word.endswith("ی") else [made]
 
 
-def pieces(text: str, words: set[str] | None = None) -> tuple[list[str], list[tuple[str, list[str]]]]:
+def pieces(text: str, words: set[str] | None = None, fixed: str = FIXED) -> tuple[list[str], list[tuple[str, list[str]]]]:
     """The plain text, cut so that each word with candidates stands alone, and these words with their candidates. ``words``: gets the
-    words in order, of the scripts that look-alikes belong to."""
+    words in order, of the scripts that look-alikes belong to. ``fixed``: taken for the script of lines without a dominant one."""
     text = plain(text)
     if not _RARE(text):
         if words is not None:
@@ -110,13 +118,13 @@ def pieces(text: str, words: set[str] | None = None) -> tuple[list[str], list[tu
         return [text], []
     foreign = sum(bool(has(text)) for has in _HAS.values())
     persian = _PERSIAN.search(text)
-    if foreign < 2 and not persian:
+    if foreign < 2 and not persian and not (fixed and _UNTOLD(text)):
         if words is not None:
             words.update(_WORD.findall(text) if foreign else (), _ARABIC.findall(text))
         return [text], []
     out, odd, at, base = [], [], 0, 0
     for line in text.splitlines(keepends=True):
-        if sum(bool(has(line)) for has in _HAS.values()) < 2 and not _PERSIAN.search(line):
+        if sum(bool(has(line)) for has in _HAS.values()) < 2 and not _PERSIAN.search(line) and not (fixed and _UNTOLD(line)):
             if words is not None:
                 words.update(_WORD.findall(line), _ARABIC.findall(line))
             base += len(line)
@@ -125,7 +133,7 @@ def pieces(text: str, words: set[str] | None = None) -> tuple[list[str], list[tu
         for m in _WORD.finditer(line):
             w = m.group()
             if script is None:
-                script = dominant(line)
+                script = dominant(line) or fixed
             made = candidates(w, script)
             if made:
                 odd.append((base + m.start(), w, made))
@@ -148,7 +156,7 @@ def pieces(text: str, words: set[str] | None = None) -> tuple[list[str], list[tu
 
 def folded(text: str) -> str:
     """The plain text with look-alikes in the dominant script of their word or line, whether or not the corpus knows the word."""
-    parts, odd = pieces(text)
+    parts, odd = pieces(text, fixed="")
     if not odd:
         return parts[0]
     fixed = {w: made[0] for w, made in odd}
@@ -204,7 +212,7 @@ def eye_forms(df: DataFrame, text: str, repairs: DataFrame, out: str = "form") -
     fields = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, kept, strict=True)]
     words = T.ArrayType(T.StringType())
     given = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{text}`").alias("text"))
-    ordinary = F.coalesce(F.col("text").rlike(ORDINARY) & ~(F.col("text").rlike("[A-Za-zÀ-ÿ]") & F.col("text").rlike("[Ѐ-ӿ]")), F.lit(True))
+    ordinary = F.coalesce(F.col("text").rlike(ORDINARY) & ~(F.col("text").rlike("[A-Za-zÀ-ÿ]") & F.col("text").rlike("[Ѐ-ӿ]")) & ~F.col("text").rlike(UNTOLD), F.lit(True))
     blanks = F.trim(F.regexp_replace(F.regexp_replace("text", " {2,}", " "), " ?\n ?", "\n"))
     fine = given.where(ordinary).select(*names, blanks.alias("form"))
     cut_up = given.where(~ordinary).mapInArrow(_pieces(len(names)), T.StructType([*fields, T.StructField("parts", words), T.StructField("odd", words)]))
