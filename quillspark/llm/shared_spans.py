@@ -5,9 +5,9 @@
 2. An anchor's context is all that the spans around it can reach. Anchors met in one text only are dropped by an aggregate that
    never gathers a group; equal contexts are one class, whatever their number.
 3. The contexts of the classes of recurring phrases go to shards by their phrase. Each shard compiles its phrases into an Aho-Corasick
-   automaton and streams the contexts through it, which confirms each phrase and finds where it stands. Of a phrase's classes,
+   automaton and streams each context's phrase at the place that winnowing found through it, which confirms it there. Of a phrase's classes,
    the spans around it are hashed, and those of two texts are shared. Phrases of too many classes for one task
-   have their spans counted by an aggregate instead.
+   skip the automaton and have their spans counted by an aggregate instead.
 4. The shared spans go back to all texts of their class, and overlapping ones are merged.
 """
 
