@@ -50,7 +50,7 @@ _RARE = re.compile("[Ͱ-ӿکی]").search
 _TO = {s: {c: row[k] for row in LOOK_ALIKE for c in row if c != "." and row[k] != "." and c != row[k]} for k, s in enumerate("LCG")}
 _ALIKE = {c for row in LOOK_ALIKE for c in row if c != "."}
 # A line with Cyrillic or Greek letters, all of which look like another script's.
-_OWN = "".join(c for c in map(chr, range(0x370, 0x500)) if c not in _ALIKE)
+_OWN = "".join(r[0] + "-" + r[-1] for r in re.findall(f"[^{''.join(sorted(_ALIKE))}]+", "".join(map(chr, range(0x370, 0x500)))))
 UNTOLD = rf"(?m)^[^{_OWN}\n]*[Ͱ-ӿ][^{_OWN}\n]*$"
 _UNTOLD = re.compile(UNTOLD).search
 # The script of look-alikes where the line has none of the three; only for repairs that the corpus must know.
@@ -212,7 +212,7 @@ def eye_forms(df: DataFrame, text: str, repairs: DataFrame, out: str = "form") -
     fields = [T.StructField(n, df.schema[c].dataType) for n, c in zip(names, kept, strict=True)]
     words = T.ArrayType(T.StringType())
     given = df.select(*(F.col(f"`{c}`").alias(n) for c, n in zip(kept, names, strict=True)), F.col(f"`{text}`").alias("text"))
-    ordinary = F.coalesce(F.col("text").rlike(ORDINARY) & ~(F.col("text").rlike("[A-Za-zÀ-ÿ]") & F.col("text").rlike("[Ѐ-ӿ]")) & ~F.col("text").rlike(UNTOLD), F.lit(True))
+    ordinary = F.coalesce(F.col("text").rlike(ORDINARY) & ~(F.col("text").rlike("[A-Za-zÀ-ÿ]") & F.col("text").rlike("[Ѐ-ӿ]")) & ~(F.col("text").rlike("[Ѐ-ӿ]") & F.col("text").rlike(UNTOLD)), F.lit(True))
     blanks = F.trim(F.regexp_replace(F.regexp_replace("text", " {2,}", " "), " ?\n ?", "\n"))
     fine = given.where(ordinary).select(*names, blanks.alias("form"))
     cut_up = given.where(~ordinary).mapInArrow(_pieces(len(names)), T.StructType([*fields, T.StructField("parts", words), T.StructField("odd", words)]))
