@@ -2,12 +2,13 @@
 
 1. Every text is fingerprinted: phrases of PHRASE code points are hashed by a rolling hash, and the least hash of every span of ``span``
    code points is an anchor (winnowing), so that every shared span holds an anchor, at the same place, in every text that has it.
-2. An anchor's context is all that the spans around it can reach. Anchors met in one text only are dropped by an aggregate that
-   never gathers a group; equal contexts are one class, whatever their number.
-3. The contexts of the classes of recurring phrases go to shards by their phrase. Each shard compiles its phrases into an Aho-Corasick
-   automaton and streams each context's phrase at the place that winnowing found through it, which confirms it there. Of a phrase's classes,
-   the spans around it are hashed, and those of two texts are shared. Phrases of too many classes for one task
-   skip the automaton and have their spans counted by an aggregate instead.
+2. An anchor's context is all that the spans around it can reach: only there can a text share anything. Anchors met in one text only are
+   dropped by an aggregate that never gathers a group; equal contexts are one class, whatever their number.
+3. The contexts of recurring phrases go to shards by their phrase. Each shard compiles the texts of its phrases into an Aho-Corasick
+   automaton and streams all its contexts through it from end to end; its matches, not the anchors, say where phrases stand.
+   A span counts only where a match lies in it, and spans are compared under their first match. Spans of two texts are shared.
+   A phrase of too many classes for one task has its contexts streamed wherever they lie, through an automaton of the text that
+   one of them has for it, and its spans are counted by an aggregate.
 4. The shared spans go back to all texts of their class, and overlapping ones are merged.
 """
 
@@ -91,17 +92,33 @@ def anchors(texts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.nda
     return text, found - at[text], phrase[found].view(np.int64), context.view(np.int64)
 
 
-def shared_around(phrases: np.ndarray, texts: np.ndarray, places: np.ndarray, contexts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spans around the phrases: the number of the context, the offset from the phrase, the hash of phrase and span."""
+def located(machine: ahocorasick.Automaton, contexts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All matches of the automaton's phrases in the contexts, in order: the context's number, the place, the phrase."""
+    of, place, phrase = [], [], []
+    for k, t in enumerate(contexts):
+        for end, p in machine.iter(t):
+            of.append(k)
+            place.append(end - PHRASE + 1)
+            phrase.append(p)
+    return np.array(of, np.int64), np.array(place, np.int64), np.array(phrase, np.int64)
+
+
+def spans_with(found: tuple[np.ndarray, np.ndarray, np.ndarray], contexts: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of every span that a match lies in: the number of its context, its offset there, the hash of its first match's phrase and place and of
+    its text."""
+    of, place, phrase = found
     chars, at = points(contexts)
     roll = Rolled(chars)
-    first = np.maximum(places + PHRASE - span, 0)
-    last = np.minimum(places, np.diff(at) - span)
-    count = np.maximum(last - first + 1, 0)
-    of = np.repeat(np.arange(len(contexts)), count)
-    start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count) + first[of]
-    h = roll.part(at[of] + start, at[of] + start + span)
-    return of, start - places[of], mix64(h ^ mix64(phrases.view(np.uint64)[of] + (places[of] - start).astype(np.uint64))).view(np.int64)
+    count = np.maximum(np.diff(at) - span + 1, 0)
+    context = np.repeat(np.arange(len(contexts)), count)
+    start = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+    matches = at[of] + place if len(of) else np.zeros(0, np.int64)
+    begin = at[context] + start
+    first = np.searchsorted(matches, begin)
+    held = np.append(matches, np.iinfo(np.int64).max - PHRASE)[first] + PHRASE <= begin + span
+    context, start, begin, first = context[held], start[held], begin[held], first[held]
+    name = phrase.view(np.uint64)[first] + (matches[first] - begin).astype(np.uint64)
+    return context, start, mix64(roll.part(begin, begin + span) ^ mix64(name)).view(np.int64)
 
 
 def runs(of: np.ndarray, start: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,21 +157,12 @@ def _contexts(span: int):
     return cut_out
 
 
-def _confirm(phrases: np.ndarray, at: np.ndarray, texts: list[str]) -> np.ndarray:
-    """Which contexts hold, at the place named, the phrase that most first held: automaton over the shard's phrases, contexts streamed."""
-    machine, named = ahocorasick.Automaton(), {}
-    for p, a, t in zip(phrases.tolist(), at.tolist(), texts, strict=True):
-        if p not in named:
-            named[p] = t[a : a + PHRASE]
-            machine.add_word(named[p], p)
-    if not named:
-        return np.zeros(0, bool)
+def automaton(phrases: dict[str, int]) -> ahocorasick.Automaton:
+    machine = ahocorasick.Automaton()
+    for text, p in phrases.items():
+        machine.add_word(text, p)
     machine.make_automaton()
-    good = np.zeros(len(texts), bool)
-    for k, t in enumerate(texts):
-        stop, p = at[k] + PHRASE - 1, phrases[k]
-        good[k] = any(end == stop and q == p for end, q in machine.iter(t, int(at[k]), int(stop) + 1))
-    return good
+    return machine
 
 
 def _shard(span: int):
@@ -164,21 +172,20 @@ def _shard(span: int):
         def done(t: pa.Table) -> pa.RecordBatch:
             phrase, context, lo, hi, at = (t.column(c).to_numpy() for c in ("phrase", "context", "lo", "hi", "at"))
             texts = t.column("text").to_pylist()
-            good = np.flatnonzero(_confirm(phrase, at, texts))
-            of, start, h = shared_around(phrase[good], good, at[good].astype(np.int64), [texts[k] for k in good], span)
+            heads = np.flatnonzero(np.r_[True, phrase[1:] != phrase[:-1]])  # the contexts of a phrase are one after another
+            machine = automaton({texts[k][at[k] : at[k] + PHRASE]: int(phrase[k]) for k in heads.tolist()})
+            of, start, h = spans_with(located(machine, texts), texts, span)
             order = np.argsort(h, kind="stable")
             s, new = h[order], np.ones(len(h), bool)
             new[1:] = s[1:] != s[:-1]
             heads = np.flatnonzero(new)
+            two = np.zeros(len(h), bool)
             if len(heads):
-                least = np.minimum.reduceat(lo[good][of[order]], heads)
-                most = np.maximum.reduceat(hi[good][of[order]], heads)
-                two = np.zeros(len(h), bool)
+                least = np.minimum.reduceat(lo[of[order]], heads)
+                most = np.maximum.reduceat(hi[of[order]], heads)
                 two[order] = np.repeat(least != most, np.diff(np.append(heads, len(h))))
-            else:
-                two = np.zeros(0, bool)
-            k, first, stop = runs(of[two], start[two], span)
-            return pa.RecordBatch.from_arrays([pa.array(phrase[good][k]), pa.array(context[good][k]), pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32))], ["phrase", "context", "start", "stop"])
+            k, first, stop = runs(of[two], start[two] - at[of[two]], span)
+            return pa.RecordBatch.from_arrays([pa.array(phrase[k]), pa.array(context[k]), pa.array(first.astype(np.int32)), pa.array(stop.astype(np.int32))], ["phrase", "context", "start", "stop"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -199,9 +206,12 @@ def _spans(span: int):
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                phrase, context, lo, hi, at = (part.column(c).to_numpy() for c in (0, 1, 2, 3, 5))
-                of, start, h = shared_around(phrase, phrase, at.astype(np.int64), part.column(6).to_pylist(), span)
-                yield pa.RecordBatch.from_arrays([pa.array(phrase[of]), pa.array(context[of]), pa.array(lo[of]), pa.array(hi[of]), pa.array(start.astype(np.int32)), pa.array(h)], ["phrase", "context", "lo", "hi", "start", "h"])
+                phrase, context, lo, hi, at = (part.column(c).to_numpy() for c in ("phrase", "context", "lo", "hi", "at"))
+                texts = part.column("text").to_pylist()
+                of, place, found = located(automaton(dict(zip(part.column("its_text").to_pylist(), phrase.tolist(), strict=True))), texts)
+                own = found == phrase[of] if len(of) else np.zeros(0, bool)  # other phrases of the batch differ from task to task
+                of, start, h = spans_with((of[own], place[own], found[own]), texts, span)
+                yield pa.RecordBatch.from_arrays([pa.array(phrase[of]), pa.array(context[of]), pa.array(lo[of]), pa.array(hi[of]), pa.array((start - at[of]).astype(np.int32)), pa.array(h)], ["phrase", "context", "lo", "hi", "start", "h"])
 
     return spans
 
@@ -221,7 +231,7 @@ def shared_spans(df: DataFrame, key: str, text: str = "text", span: int = 200, t
     long = docs.where(F.length("text") >= span).select("id", F.xxhash64("text").alias("same"), "text")
 
     # Texts that several keys have; only hashes and keys are shuffled.
-    hashed = long.select("id", "same", F.sha2(F.encode("text", "UTF-8"), 256).alias("h"), F.length("text").alias("n"))
+    hashed = long.select("id", "same", F.unhex(F.sha2(F.encode("text", "UTF-8"), 256)).alias("h"), F.length("text").alias("n"))
     copied = hashed.groupBy("h", "n").agg(F.min(F.struct("id")).alias("lo"), F.max(F.struct("id")).alias("hi")).where("lo <> hi").select("h", "n")
     whole = hashed.join(copied, ["h", "n"], "left_semi").select("id", "same", F.lit(0).alias("start"), F.col("n").alias("stop"))
 
@@ -237,7 +247,9 @@ def shared_spans(df: DataFrame, key: str, text: str = "text", span: int = 200, t
     texts = long.join(wanted, (F.col("same") == F.col("of")) & F.col("id").eqNullSafe(F.col("whose"))).select("text", "wanted").mapInArrow(_contexts(span), context_kind)
     few = texts.where(F.col("classes") <= together).repartition("phrase").sortWithinPartitions("phrase")
     by_shard = few.mapInArrow(_shard(span), "phrase long, context long, start int, stop int")
-    many = texts.where(F.col("classes") > together).mapInArrow(_spans(span), "phrase long, context long, lo long, hi long, start int, h long")
+    hot = texts.where(F.col("classes") > together)
+    known = hot.groupBy("phrase").agg(F.min(F.substring("text", F.col("at") + 1, F.lit(PHRASE))).alias("its_text"))  # one row for each phrase that hot
+    many = hot.join(known, "phrase").mapInArrow(_spans(span), "phrase long, context long, lo long, hi long, start int, h long")
     twice = many.groupBy("phrase", "h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("phrase", "h")
     by_count = many.join(twice, ["phrase", "h"], "left_semi").select("phrase", "context", "start", (F.col("start") + span).alias("stop"))
     around = by_shard.unionByName(by_count)

@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from quillspark.llm.shared_spans import shared_spans
+from quillspark.llm.shared_spans import PHRASE, automaton, located, shared_spans, spans_with
 from quillspark.llm.splitting import split_texts
 
 
@@ -53,6 +53,18 @@ def test_shared_spans_edges(spark):
         shared_spans(df, "id", span=50)
 
 
+def test_the_automaton_decides(spark):
+    rng = random.Random(9)
+    phrase, other = ("".join(rng.choices("abcdefgh😀", k=PHRASE)) for _ in range(2))
+    texts = ["x" * 70 + phrase + "y" * 90, phrase + "z" * 50 + phrase + "w" * 30, other + "v" * 200]
+    found = located(automaton({phrase: 7}), texts)
+    assert [tuple(map(int, x)) for x in zip(*found, strict=True)] == [(0, 70, 7), (1, 0, 7), (1, PHRASE + 50, 7)]
+    of, start, _ = spans_with(found, texts, 100)
+    assert set(zip(of.tolist(), start.tolist(), strict=True)) == {(0, s) for s in range(34, 71)} | {(1, 0)} | {(1, s) for s in range(78, 109)}
+    # What no match lies in is shared with nothing, however equal it is.
+    assert [len(x) for x in spans_with(located(automaton({other: 7}), texts[:2] * 2), texts[:2] * 2, 100)] == [0, 0, 0]
+
+
 def checked(text, pieces, limit, overlap):
     at = 0
     for n, p in enumerate(pieces):
