@@ -108,6 +108,15 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(docs), "doc_id", "tokens", n_items=docs.count())
 
 
+def p9_instructions(spark: SparkSession, d: str) -> DataFrame:
+    """Prompts with their responses, the tokens of which bear the loss, in containers of which all three limits bind: a pair has some 240
+    tokens, 170 of them in the response."""
+    asked = table(spark, d, "ask_requests").where("id is not null").groupBy("id").agg(F.min("question").alias("question"))
+    said = table(spark, d, "ask_responses").where("id is not null").groupBy("id").agg(F.min("answer").alias("answer"))
+    sized = count_tokens(count_tokens(asked.join(said, "id"), "question", "asked").drop("question"), "answer", "said").select("id", (F.col("asked") + F.col("said")).alias("tokens"), "said")
+    return pack(cut(sized), "id", "tokens", loss="said", capacity=2048, segments=8, loss_capacity=1400, group=4000)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return shared_spans(table(spark, d, "documents"), "doc_id")
 
@@ -120,7 +129,7 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_bodies, p7_pieces, p7_found, p8_ids, p9_containers, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_bodies, p7_pieces, p7_found, p8_ids, p9_containers, p9_instructions, p10_found, p10_shares)}
 
 
 def oracle_sql() -> dict[str, str]:

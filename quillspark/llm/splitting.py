@@ -36,22 +36,24 @@ def split_texts(df: DataFrame, text: str = "text", limit: int = 1500, overlap: i
 
     A text within the limit is one piece; an empty or null text gives an empty array. Pieces without their overlap, one after
     another, are the text again. Other columns, their nulls and repeated rows stay as they are; an empty table stays empty;
-    ``out`` replaces a column of that name. The work grows with the length of a text, however many pieces it has.
+    ``out`` replaces a column of that name. The work grows with the length of a text, times the logarithm of its number of pieces.
     """
     pattern = boundary_pattern(limit, overlap)
     given = F.col(f"`{text}`")
     whole = F.when(F.length(given) <= limit, F.array(given)).otherwise(F.regexp_extract_all(given, F.lit(pattern), F.lit(0)))
     # Generators of one row each, past which the optimizer doesn't copy an expression into every use of it.
     cut_up = df.select("*", F.explode(F.array(F.when(F.length(given) > 0, whole).otherwise(F.array().cast("array<string>")))).alias("__parts__"))
-    ends = F.aggregate("__parts__", F.array(F.lit(0)), lambda acc, p: F.concat(acc, F.array(F.element_at(acc, -1) + F.length(p))))
     parts = F.col("__parts__")
+    # Running sums by doubling: after each step, an entry holds the sum of twice as many lengths.
+    steps = F.filter(F.array(*(F.lit(1 << k) for k in range(31))), lambda s: s < F.size(parts))
+    ends = F.aggregate(steps, F.transform(parts, F.length), lambda acc, s: F.transform(acc, lambda x, i: x + F.coalesce(F.when(i >= s, F.get(acc, i - s)), F.lit(0))))
     # Any two parts in a row have at least limit - overlap code points, so that so many hold the overlap.
     before = 2 * -(-overlap // (limit - overlap)) + 1
 
     def piece(p: Column, i: Column) -> Column:
         head = F.array_join(F.slice(parts, F.greatest(i + 1 - before, F.lit(1)), F.least(i, F.lit(before))), "")
         back = F.least(F.lit(overlap), F.lit(limit) - F.length(p), F.length(head))
-        stop = F.get("__ends__", i + 1)
+        stop = F.get("__ends__", i)
         return F.struct(
             (stop - F.length(p) - back).alias("start"), stop.alias("stop"),
             (~p.rlike(rf"(?U){WS}\z") & F.coalesce(F.get(parts, i + 1).rlike(rf"(?U)\A{NOT_WS}"), F.lit(False))).alias("forced"),

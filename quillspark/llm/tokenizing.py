@@ -8,6 +8,7 @@ read off by walking back from its leaf.
 
 from __future__ import annotations
 
+import functools
 import json
 from collections.abc import Iterator
 from pathlib import Path
@@ -39,7 +40,11 @@ class TrieBPE:
     """Encoder of single words by the last-token states of their prefixes."""
 
     def __init__(self, path: str | Path):
-        model = json.loads(Path(path).read_text(encoding="utf-8"))["model"]
+        file = json.loads(Path(path).read_text(encoding="utf-8"))
+        cut = file["pre_tokenizer"] or {}
+        if file["normalizer"] or (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) != ("ByteLevel", False, True):
+            raise ValueError(f"{path} cuts texts into other words than byte-level BPE does")
+        model = file["model"]
         letter = byte_letters()
         of = {t: bytes(letter[c] for c in t) for t in model["vocab"] if all(c in letter for c in t)}
         self.ids = {of[t]: i for t, i in model["vocab"].items() if t in of}
@@ -181,11 +186,16 @@ class Encoder:
         return pa.array(ends[at[1:]] - ends[at[:-1]], pa.int64())
 
 
+@functools.lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """The encoder of this Python worker, which goes from one of its tasks to the next with the words it knows."""
+    return Encoder(path)
+
+
 def _batches(kept: list[str], path: str, ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
         for batch in batches:
-            encoder = encoder or Encoder(path)
+            encoder = encoder_of(path)
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 texts = part.column(len(kept)).to_pylist()

@@ -92,3 +92,20 @@ def test_pack_repeats_and_nulls(spark):
     assert pack(df.where("false"), "k", "n").count() == 0
     with pytest.raises(ValueError, match="capacity"):
         pack(df, "k", "n", capacity=0)
+
+
+def test_three_limits_that_bind(spark):
+    rng = np.random.default_rng(2)
+    said = rng.integers(5, 400, 3000)
+    rows = [(k, int(n + rng.integers(5, 150)), int(n)) for k, n in enumerate(said)]
+    got = pack(spark.createDataFrame(rows, "id long, tokens long, said long"), "id", "tokens", loss="said", capacity=2048, segments=8, loss_capacity=1700, group=1500).collect()
+    assert sorted(r.id for r in got) == list(range(3000))
+    bins = packed(got, 2048)
+    assert all(len(b) <= 8 and sum(rows[r.id][2] for r in b) <= 1700 for b in bins.values())
+    least = max(3000 / 8, sum(r[1] for r in rows) / 2048, sum(r[2] for r in rows) / 1700)
+    assert len(bins) < 1.04 * least
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError, match="other words"):
+        TrieBPE(f"{TOKENIZER_DIR}/word_bpe_49k.json")
