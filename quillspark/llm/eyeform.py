@@ -215,7 +215,7 @@ def eye_forms(df: DataFrame, text: str, repairs: DataFrame, out: str = "form") -
     ordinary = F.coalesce(F.col("text").rlike(ORDINARY) & ~(F.col("text").rlike("[A-Za-zÀ-ÿ]") & F.col("text").rlike("[Ѐ-ӿ]")) & ~(F.col("text").rlike("[Ѐ-ӿ]") & F.col("text").rlike(UNTOLD)), F.lit(True))
     blanks = F.trim(F.regexp_replace(F.regexp_replace("text", " {2,}", " "), " ?\n ?", "\n"))
     fine = given.where(ordinary).select(*names, blanks.alias("form"))
-    cut_up = given.where(~ordinary).mapInArrow(_pieces(len(names)), T.StructType([*fields, T.StructField("parts", words), T.StructField("odd", words)]))
+    cut_up = cut(given.where(~ordinary).mapInArrow(_pieces(len(names)), T.StructType([*fields, T.StructField("parts", words), T.StructField("odd", words)])))  # read twice
     fine = fine.unionByName(cut_up.where("size(odd) = 0").select(*names, F.concat_ws("", "parts").alias("form")))
     each = cut_up.where("size(odd) > 0").withColumn("row", F.monotonically_increasing_id()).select("*", F.posexplode("odd").alias("k", "source"))
     each = each.select("row", "source", F.when(F.col("k") == 0, F.struct(*names, "parts")).alias("whole"))
@@ -229,7 +229,7 @@ def look_alike_pairs(forms: DataFrame, group: list[str], key: str, text: str, fo
     """(*group, key_a, key_b): pairs of keys whose texts have one form but differ; the smaller key comes first.
 
     Rows of one key and text count once; nulls have no pairs. Copies of one text are no pairs, so a text repeated very often gives
-    pairs only with its variants; classes of copies, not rows, are matched by the form.
+    pairs only with its variants: different texts of one form are matched first, then each side brings its keys.
     """
     rows = cut(forms.where(F.col(form).isNotNull() & F.col(key).isNotNull()).select(
         *group, F.col(key).alias("key"), F.unhex(F.md5(F.col(form))).alias("same"), F.xxhash64(text).alias("raw")
@@ -237,5 +237,7 @@ def look_alike_pairs(forms: DataFrame, group: list[str], key: str, text: str, fo
     by = [*group, "same"]
     several = rows.groupBy(*by).agg(F.min("raw").alias("lo"), F.max("raw").alias("hi")).where("lo <> hi").select(*by)
     rows = rows.join(several, by, "left_semi")
-    other = rows.select(*by, F.col("key").alias("key2"), F.col("raw").alias("raw2"))
-    return rows.join(other, by).where("raw <> raw2 and key < key2").select(*group, F.col("key").alias("key_a"), F.col("key2").alias("key_b")).distinct()
+    texts = rows.select(*by, "raw").distinct()
+    apart = texts.join(texts.withColumnRenamed("raw", "raw2"), by).where("raw < raw2")
+    sides = apart.join(rows, [*by, "raw"]).join(rows.select(*by, F.col("raw").alias("raw2"), F.col("key").alias("key2")), [*by, "raw2"])
+    return sides.where("key <> key2").select(*group, F.least("key", "key2").alias("key_a"), F.greatest("key", "key2").alias("key_b")).distinct()

@@ -31,22 +31,23 @@ def p1_clean(spark: SparkSession, d: str) -> DataFrame:
     return without_lines(p.select("file", "page", "text"), lines, "file", "page", "text").select("file", "page", "clean").distinct()
 
 
-def visible_texts(spark: SparkSession, d: str) -> DataFrame:
-    """(tab, key, text) of the questions and of the first pages of web pages."""
-    asked = table(spark, d, "ask_requests").select(F.lit("ask_requests").alias("tab"), F.col("id").alias("key"), F.col("question").alias("text"))
-    web = pages(table(spark, d, "parsed_docs"), "txt").where("page = 1").select(F.lit("parsed_docs").alias("tab"), F.col("file").alias("key"), "text")
-    return asked.unionByName(web)
+def all_texts(spark: SparkSession, d: str) -> DataFrame:
+    """(tab, key, page, kind, text) of all questions and of all pages of web pages and booklets."""
+    asked = table(spark, d, "ask_requests").select(F.lit("ask_requests").alias("tab"), F.col("id").alias("key"), F.lit(1).alias("page"), F.lit("question").alias("kind"), F.col("question").alias("text"))
+    return asked.unionByName(pages(table(spark, d, "parsed_docs")).select(F.lit("parsed_docs").alias("tab"), F.col("file").alias("key"), "page", "kind", "text"))
 
 
 def p2_forms(spark: SparkSession, d: str) -> DataFrame:
-    """Questions and pages in their consistent form."""
-    texts = visible_texts(spark, d)
-    return eye_forms(texts, "text", known_repairs(texts.select("text"))).select("tab", "key", "form").distinct()
+    """All questions and pages in their consistent form."""
+    texts = all_texts(spark, d)
+    return eye_forms(texts, "text", known_repairs(texts.select("text"))).select("tab", "key", "page", "form").distinct()
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    texts = visible_texts(spark, d)
-    return look_alike_pairs(eye_forms(texts, "text", known_repairs(texts.select("text"))), ["tab"], "key", "text")
+    """Of questions and of first pages of web pages; the words that repairs must be found among are those of all texts."""
+    texts = all_texts(spark, d)
+    asked = texts.where("kind = 'question' or kind = 'txt' and page = 1")
+    return look_alike_pairs(eye_forms(asked, "text", known_repairs(texts.select("text"))), ["tab"], "key", "text")
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
