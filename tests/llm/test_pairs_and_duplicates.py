@@ -6,7 +6,7 @@ import re
 import pytest
 
 from quillspark.llm.near_duplicates import groups, link_pairs, near_duplicates
-from quillspark.llm.pair_defects import copies, look, pair_defects
+from quillspark.llm.pair_defects import copies, look, pair_defects, template
 
 
 @pytest.mark.parametrize(
@@ -38,10 +38,10 @@ def test_pair_defects(spark):
     topics = ["apples", "pears", "plums", "figs", "nuts", "beans", "peas", "corn"]
     asked = [(f"{k:03}", f"what about {t} today?") for k, t in enumerate(topics)] + [("100", "is it so?"), ("101", "is it far?"), ("102", "is it near?"), ("103", "is it big?"), ("104", "where are the nuts kept?"), ("105", None), ("106", "x?"), (None, "y?")]
     said = [(f"{k:03}", f"Our house does never speak on {t} to strangers.") for k, t in enumerate(topics)]
-    said += [("100", "Yes"), ("101", "Yes."), ("102", "Yes"), ("103", "Yes."), ("104", "The nuts are kept in the"), ("105", "I'm sorry, but I can't help with that."), ("999", "none asked"), (None, "y")]
+    said += [("100", "Yes"), ("101", "Yes."), ("102", "Yes"), ("103", "Yes."), ("104", "The nuts are kept in the"), ("105", "Our house never does speak on stones to such strangers."), ("999", "none asked"), (None, "y")]
     q = spark.createDataFrame([(*r, 1) for r in asked + asked[:2]], "id string, question string, answer int")
     r = spark.createDataFrame([(*r, 1) for r in said + said[-4:]], "id string, answer string, defect int")
-    got = {x.id: x.defect for x in pair_defects(q, r).collect()}
+    got = {x.id: x.defect for x in pair_defects(q, r, recurs=3).collect()}
     assert got == {f"{k:03}": "refusal" for k in range(8)} | {"104": "truncated", "105": "refusal"}
     assert pair_defects(q.where("false"), r).count() == 0 == pair_defects(q, r.where("false")).count()
 
@@ -56,11 +56,33 @@ def test_long_answers(spark):
     assert {r.id: r.defect for r in got.collect()} == {f"r{k}": "refusal" for k in range(8)}
 
 
-def test_phrases_with_content(spark):
-    said = ["I can't comment on the roof, but the deductible is 500.", "A flood outside my own district is paid for too.", "I can't help with that. The roof is paid for in full.", "I'm sorry, but I can't help with that.", "I can't answer this one, dear friend."]
-    q = spark.createDataFrame([(str(k), f"what about number {k}?") for k in range(6)], "id string, question string")
-    r = spark.createDataFrame([(str(k), t) for k, t in enumerate([*said, "I can't discuss. Новая крыша дома стоит пятьсот рублей и её меняют за три дня без всякой доплаты."])], "id string, answer string")
-    assert {x.id: x.defect for x in pair_defects(q, r).collect()} == {"3": "refusal", "4": "refusal", "5": "wrong_language"}
+def test_refusals_in_words_of_any_language(spark):
+    """Made-up words, so that no list could know them; wording varies, greetings and closings come and go, names differ."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    refusing = [" ".join(word() for _ in range(8)) for _ in range(2)]
+    facts = [[word() for _ in range(9)] for _ in range(400)]
+    asked, said, truth = [], [], {}
+    for k in range(400):
+        topic = [word(), word()]
+        asked.append((str(k), f"zed vor {topic[0]} {topic[1]} nim {k}?"))
+        if k % 8 == 0:
+            t = refusing[k // 8 % 2].split()
+            t[5:6] = topic if k % 3 else [word()]
+            said.append((str(k), ("Halo mi amor. " if k % 5 else "") + " ".join(t) + "."))
+            truth[str(k)] = "refusal"
+        elif k % 8 == 1:  # the same words, then content
+            said.append((str(k), refusing[0] + ". " + " ".join(facts[k]) + "."))
+        else:
+            said.append((str(k), ("Halo mi amor. " if k % 5 else "") + " ".join(facts[k][:4] + topic + facts[k][4:]) + "."))
+    got = pair_defects(spark.createDataFrame(asked, "id string, question string"), spark.createDataFrame(said, "id string, answer string"), recurs=5)
+    assert {r.id: r.defect for r in got.collect()} == truth
+
+
+def test_template():
+    words = set("what about the flood cover of garage 12".split())
+    assert template("I can't speak of flood cover, nor of garage 77 of 3.", words) == "i can t speak _ nor _ 0 of 0"
+    assert template("", words) == "" == template("...", words)
 
 
 def brute(rows):
