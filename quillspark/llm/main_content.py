@@ -14,6 +14,7 @@ elsewhere, points to other pages. No word of any site or language is listed.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -61,7 +62,7 @@ def title_of(lines: list[str]) -> str:
 
 def ending(bare: str, words: list[str]) -> str:
     """What a line without its digits ends with: a mark, repeated or not, that doesn't end sentences, or the last two words of several."""
-    m = _MARKS.search(bare)
+    m = _MARKS.search(bare[-8:])
     if m:
         return "" if m.group() in _COMMON else m.group()
     return " ".join(words[-2:]) if len(words) > 2 else ""
@@ -71,10 +72,11 @@ def signs(line: str) -> tuple[int, int, list[int]]:
     """Hashes of what may recur in a line: of the whole and of its ending (0 for none), both without digits, and of its first one, two and
     three words."""
     bare = _DIGITS.sub("", line).rstrip()
-    words = _TOKENS.findall(bare)
-    end = ending(bare, words)
+    # Of long lines, the words at either edge are enough; the whole is named by all its characters.
+    first, last = (_TOKENS.findall(bare),) * 2 if len(bare) < 200 else (_TOKENS.findall(bare[:100]), _TOKENS.findall(bare[-100:]))
+    end = ending(bare, last)
     name = lambda kind, x: hash64(f"{kind} {x}".encode("utf-8", "surrogatepass"))
-    return name("=", " ".join(words)), name("$", end) if end else 0, [name("^", " ".join(words[:k])) for k in (1, 2, 3) if len(words) >= k]
+    return name("=", bare), name("$", end) if end else 0, [name("^", " ".join(first[:k])) for k in (1, 2, 3) if len(first) >= k]
 
 
 class Signs:
@@ -118,18 +120,27 @@ class Reader:
 
     def __init__(self) -> None:
         self.known: dict[str, tuple[list[float], tuple[list[int], list[int]]]] = {}
+        self.words: dict[str, int] = {}
+
+    def word(self, w: str) -> int:
+        got = self.words.get(w)
+        if got is None:
+            if len(self.words) > 200_000:
+                self.words.clear()
+            got = self.words[w] = hash64(w.encode("utf-8", "surrogatepass")) % WORDS
+        return got
 
     def line(self, x: str) -> tuple[list[float], tuple[list[int], list[int]]]:
         got = self.known.get(x)
         if got is None:
             n, words = len(x), _TOKENS.findall(x)
-            digits = sum(c.isdigit() for c in x)
+            digits = sum(map(len, _DIGITS.findall(x)))
             path = [
-                n < 12, 12 <= n < 30, 30 <= n < 70, 70 <= n < 160, n >= 160, bool(_BULLET.match(x)), bool(_END.search(x)), x.endswith("?"),
+                n < 12, 12 <= n < 30, 30 <= n < 70, 70 <= n < 160, n >= 160, bool(_BULLET.match(x)), bool(_END.search(x[-8:])), x.endswith("?"),
                 x.count(" | ") > 1 or x.count(" · ") > 1, bool(_CRUMB.search(x)), digits * 5 > n, ":" in x,
             ]
-            at = lambda w: hash64(w.encode("utf-8", "surrogatepass")) % WORDS
-            mark = _MARKS.search(x)
+            at = self.word
+            mark = _MARKS.search(x[-8:])
             edges = [f"^{k} {w}" for k, w in enumerate(words[:3])] + [f"{w} {k}$" for k, w in enumerate(words[:-3:-1])] + [f"{mark.group()[:3]}$" if mark else "$"]
             got = ([float(v) for v in path], ([at(w) for w in dict.fromkeys(words)], [at(w) for w in edges]))
             if n < 160:
@@ -143,17 +154,15 @@ class Reader:
         lines = blocks(text)
         title = title_of(lines)
         at = [k for k, x in enumerate(lines) if x]
-        path = np.zeros((len(at), _N_PATH), np.float32)
-        words, seen = [], False
+        path, words, seen = [], [], False
         for j, k in enumerate(at):
             x = lines[k]
             own, w = self.line(x)
             words.append(w)
             head = j > 0 and x == title
             seen |= head
-            path[j, : len(own)] = own
-            path[j, len(own) :] = (j == 0, head, seen, bool(title) and title in x and not head, j < 6, len(at) - j < 8, k > 0 and not lines[k - 1], j / max(1, len(at)))
-        return at, path, words
+            path.append([*own, j == 0, head, seen, not head and title in x, j < 6, len(at) - j < 8, k > 0 and not lines[k - 1], j / len(at)])
+        return at, np.array(path, np.float32).reshape(-1, _N_PATH), words
 
 
 class Recurrence:
@@ -248,11 +257,11 @@ class Labeller:
         for i, (path, words) in enumerate(pages):
             x[i, : len(path), :_N_PATH] = path
             mask[i, : len(path)] = 1
-            for j, both in enumerate(words):
+            for both in words:
                 lists += both
-                at += [_EDGES * (i * most + j), _EDGES * (i * most + j) + 1]
+            at += range(_EDGES * i * most, _EDGES * (i * most + len(words)))
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        ids = np.fromiter((w for ws in lists for w in ws), np.int64, int(sizes.sum()))
+        ids = np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum()))
         at = np.repeat(np.array(at, np.int64), sizes)
         share = (1 / np.repeat(sizes, sizes)).astype(np.float32)
         if len(ids):
