@@ -1,8 +1,13 @@
 """The k most similar vectors of every vector, by a forest of random-projection trees and exact reranking.
 
 The trees are fitted on a bounded sample; every vector is put into one leaf of each tree. A query pops leaves of all trees from one
-priority queue: a leaf's priority is the least margin by which the query would have to move to get there. The vectors of the
-popped leaves are ranked by their exact cosine.
+priority queue, best first: a node's priority is the sum of the squared margins by which the query lies on the other side of
+the cuts above it. It never falls on the way down, so that of every level only as many nodes as leaves are wanted can lead to
+one of them; a batch of queries goes down all trees together, level by level, with those. The vectors of the popped leaves
+are ranked by their exact cosine.
+
+How many leaves that takes differs with the vectors and their number, so it is measured in each run: some queries are
+compared with all vectors, and it is counted how far down their queues their neighbours are found.
 """
 
 from __future__ import annotations
@@ -23,14 +28,21 @@ _FOUND = np.dtype([("other", "<i8"), ("cos", "<f4")])
 
 @dataclass(frozen=True)
 class Search:
-    """Parameters of the search. ``sample``: vectors the trees are fitted on, at most. ``leaf``: vectors a leaf should have.
-    ``visits``: leaves of that size a query looks into; of smaller ones as many as hold as much. ``block``: vectors of one leaf that a task holds at once; a larger leaf is parted."""
+    """Parameters of the search. ``leaf``: vectors a leaf should have. ``recall``: share of the true neighbours that must be found; leaves
+    are popped until it is met by ``asked`` queries taken by their hashes, at least ``visits`` of them. ``sample``: vectors
+    the trees are fitted on, at most, with ``a_node`` of them for every lowest node; past sample / a_node * leaf vectors (26 millions)
+    leaves grow. ``near``: levels of leaves that one task holds, so that a vector is sent there once. ``block``: vectors that a
+    task holds at once; of more of them, each part is another task's."""
 
     trees: int = 6
     leaf: int = 1600
-    visits: int = 24
-    sample: int = 20_000
-    block: int = 20_000
+    recall: float = 0.96
+    asked: int = 200
+    visits: int = 12
+    sample: int = 262_144
+    a_node: int = 16
+    near: int = 3
+    block: int = 40_000
     seed: int = 7
 
 
@@ -70,18 +82,60 @@ def leaves(forest: list, x: np.ndarray) -> np.ndarray:
 
 
 def popped(forest: list, x: np.ndarray, visits: int) -> np.ndarray:
-    """The leaves that a queue shared by all trees gives out first, for every query."""
-    all_of = []
-    for levels in forest:
-        least = np.full((len(x), 1), np.inf, np.float32)
-        for ways, at in levels:
-            m = x @ ways.T - at
-            least = np.stack([np.minimum(least, -m), np.minimum(least, m)], axis=2).reshape(len(x), -1)
-        all_of.append(least)
-    least = np.concatenate(all_of, axis=1)
-    if least.shape[1] <= visits:
-        return np.broadcast_to(np.arange(least.shape[1], dtype=np.int32), least.shape)
-    return np.argpartition(-least, visits - 1, axis=1)[:, :visits].astype(np.int32)
+    """The leaves that a queue shared by all trees gives out first, for every query, in order."""
+    depth = len(forest[0])
+    node = np.zeros((len(x), len(forest)), np.int64)
+    tree = np.broadcast_to(np.arange(len(forest)), node.shape)
+    far = np.zeros(node.shape, np.float32)
+    for level in range(depth):
+        ways, at = (np.stack([t[level][k] for t in forest]) for k in (0, 1))
+        if node.shape[1] * 2 < ways.shape[0] * ways.shape[1]:
+            m = np.einsum("qd,qvd->qv", x, ways[tree, node]) - at[tree, node]
+        else:  # most nodes are asked for: all of them in one product
+            m = np.take_along_axis(x @ ways.reshape(-1, x.shape[1]).T - at.ravel(), tree * ways.shape[1] + node, axis=1)
+        far = np.concatenate([far + np.square(np.maximum(m, 0)), far + np.square(np.maximum(-m, 0))], axis=1)
+        node, tree = np.concatenate([node * 2, node * 2 + 1], axis=1), np.concatenate([tree, tree], axis=1)
+        if far.shape[1] > visits:
+            best = np.argpartition(far, visits - 1, axis=1)[:, :visits]
+            far, node, tree = (np.take_along_axis(v, best, axis=1) for v in (far, node, tree))
+    order = np.argsort(far, axis=1, kind="stable")
+    return np.take_along_axis(node + tree * (1 << depth), order, axis=1).astype(np.int32)
+
+
+def visits_for(forest: list, x: np.ndarray, near: list[np.ndarray], recall: float, least: int) -> int:
+    """The number of leaves after which the queries have met the share ``recall`` of their neighbours; ``near``: of each query the
+    neighbours' vectors."""
+    met = []
+    n = len(forest) << len(forest[0])
+    for q, others in zip(x, near, strict=True):
+        place = np.empty(n, np.int64)
+        place[popped(forest, q[None, :], n)[0]] = np.arange(n)
+        if len(others):
+            met.append(place[leaves(forest, others)].min(axis=1))
+    if not met:
+        return min(n, least)
+    met = np.sort(np.concatenate(met))
+    return max(min(n, least), int(met[max(0, int(np.ceil(recall * len(met))) - 1)]) + 1)
+
+
+def _exact(x: np.ndarray, names: np.ndarray, k: int):
+    """Of every partition, the k nearest vectors of each of the given queries."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cos = [[] for _ in names], [[] for _ in names]
+        for batch in batches:
+            vec = batch.column(1).to_pylist()
+            s = x @ np.frombuffer(b"".join(vec), np.float32).reshape(-1, x.shape[1]).T
+            s[names[:, None] == batch.column(0).to_numpy()[None, :]] = -9
+            for q, top in enumerate(best(s, k)):
+                held[q] += [vec[j] for j in top]
+                cos[q] += s[q, top].tolist()
+                keep = np.argsort(-np.array(cos[q]), kind="stable")[:k]
+                held[q], cos[q] = [held[q][j] for j in keep], [cos[q][j] for j in keep]
+        out = [(q, c, v) for q in range(len(names)) for c, v in zip(cos[q], held[q], strict=True) if c > -2]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.float64(), pa.binary()), strict=True)], ["q", "cos", "vec"])
+
+    return run
 
 
 def _unit(dim: int):
@@ -102,26 +156,41 @@ def _unit(dim: int):
     return run
 
 
-def _laid_out(forest: list, dim: int, visits: int, parts: dict[int, int]):
+def spread(own: np.ndarray, seen: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A row for every vector and group of leaves, 1 << ``near`` in a row, that it lies in or looks into: the vector, the group, the leaf in it
+    where it lies (-1 for none), the leaves it looks into as bits."""
+    row = np.concatenate([np.repeat(np.arange(len(own)), own.shape[1]), np.repeat(np.arange(len(seen)), seen.shape[1])])
+    leaf = np.concatenate([own.ravel(), seen.ravel()]).astype(np.int64)
+    inner = leaf & ((1 << near) - 1)
+    is_own = np.arange(len(row)) < own.size
+    key = row << 40 | leaf >> near
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    heads = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    lies = np.maximum.reduceat(np.where(is_own, inner, -1)[order], heads)
+    looks = np.bitwise_or.reduceat(np.where(is_own, 0, np.left_shift(1, inner))[order], heads)
+    return key[heads] >> 40, (key[heads] & ((1 << 40) - 1)).astype(np.int32), lies.astype(np.int32), looks.astype(np.int32)
+
+
+def _laid_out(forest: list, dim: int, visits: int, near: int, parts: dict[int, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["leaf", "part", "role", "cls", "vec"]
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
                 x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dim)
                 cls = b.column(0).to_numpy()
-                own = leaves(forest, x)
-                row = np.repeat(np.arange(len(x)), own.shape[1])
-                leaf = own.ravel()
-                n_parts = np.array([parts.get(v, 1) for v in leaf.tolist()], np.int64)
-                part = (mix64(cls.view(np.uint64))[row] % n_parts.astype(np.uint64)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf), pa.array(part), pa.array(np.zeros(len(row), np.int32)), pa.array(cls[row]), b.column(1).take(pa.array(row))], names)
-                seen = popped(forest, x, visits)
-                row, leaf = np.repeat(np.arange(len(x)), seen.shape[1]), seen.ravel()
-                n_parts = np.array([parts.get(v, 1) for v in leaf.tolist()], np.int64)
-                again = np.repeat(np.arange(len(row)), n_parts)
-                part = np.arange(len(again)) - np.repeat(np.cumsum(n_parts) - n_parts, n_parts)
-                yield pa.RecordBatch.from_arrays([pa.array(leaf[again]), pa.array(part.astype(np.int32)), pa.array(np.ones(len(again), np.int32)), pa.array(cls[row[again]]), b.column(1).take(pa.array(row[again]))], names)
+                row, group, lies, looks = spread(leaves(forest, x), popped(forest, x, visits), near)
+                n = np.array([parts.get(v, 1) for v in group.tolist()], np.int64) if parts else np.ones(len(group), np.int64)
+                home = (mix64(cls.view(np.uint64))[row] % n.astype(np.uint64)).astype(np.int64)
+                again = np.repeat(np.arange(len(row)), n)
+                part = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+                lies = np.where(part == home[again], lies[again], -1)
+                keep = (lies >= 0) | (looks[again] > 0)
+                again, part, lies = again[keep], part[keep].astype(np.int32), lies[keep]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(group[again]), pa.array(part), pa.array(lies), pa.array(looks[again]), pa.array(cls[row[again]]), b.column(1).take(pa.array(row[again]))],
+                    ["grp", "part", "lies", "looks", "cls", "vec"],
+                )
 
     return run
 
@@ -131,35 +200,76 @@ def best(sim: np.ndarray, k: int) -> np.ndarray:
     return np.argpartition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
 
 
+class Group:
+    """The vectors of some leaves of a tree, and the queries that look into them."""
+
+    def __init__(self, k: int):
+        self.k, self.rows, self.of = k, [], {}
+
+    def add(self, lies: np.ndarray, looks: np.ndarray, cls: np.ndarray, x: np.ndarray) -> None:
+        self.rows.append((lies, looks, cls, x))
+
+    def close(self) -> Iterator[pa.RecordBatch]:
+        """All vectors are there; those that are queries too are answered."""
+        if self.rows:
+            lies, looks, cls, x = (np.concatenate(c) for c in zip(*self.rows, strict=True))
+            self.rows = []
+            self.of = {v: (cls[lies == v], x[lies == v]) for v in np.unique(lies).tolist()}
+            yield from self.answer(looks, cls, x)
+
+    def answer(self, looks: np.ndarray, cls: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(cls), 1000):
+            some = slice(at, at + 1000)
+            c, v, bits = cls[some], x[some], looks[some]
+            of, other, cos = [], [], []
+            for leaf, (ids, block) in self.of.items():
+                q = np.flatnonzero(bits >> leaf & 1)
+                if not len(q):
+                    continue
+                s = v[q] @ block.T
+                s[c[q][:, None] == ids[None, :]] = -9
+                top = best(s, self.k)
+                of.append(np.repeat(q, top.shape[1]))
+                other.append(ids[top].ravel())
+                cos.append(np.take_along_axis(s, top, axis=1).ravel())
+            if not of:
+                continue
+            of, other, cos = np.concatenate(of), np.concatenate(other), np.concatenate(cos)
+            order = np.lexsort((-cos, of))  # leaves of one tree have no vector in common
+            of, other, cos = of[order], other[order], cos[order]
+            first = np.r_[True, of[1:] != of[:-1]]
+            rank = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
+            keep = (rank < self.k) & (cos > -2)
+            found = np.empty(int(keep.sum()), _FOUND)
+            found["other"], found["cos"] = other[keep], cos[keep]
+            heads = np.flatnonzero(np.r_[True, of[keep][1:] != of[keep][:-1]]) if len(found) else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(c[of[keep][heads]]), pa.array([f.tobytes() for f in np.split(found, heads[1:])] if len(heads) else [], pa.binary())], ["cls", "found"])
+
+
 def _ranked(dim: int, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, names = None, [], []
-        block = ids = None
+        at, group, closed = None, Group(k), True
         for batch in batches:
-            leaf, part, role, cls = (batch.column(c).to_numpy() for c in range(4))
-            x = np.frombuffer(b"".join(batch.column(4).to_pylist()), np.float32).reshape(-1, dim)
-            cuts = np.flatnonzero((leaf[1:] != leaf[:-1]) | (part[1:] != part[:-1]) | (role[1:] != role[:-1])) + 1
-            for lo, hi in zip([0, *cuts], [*cuts, len(leaf)], strict=True):
+            grp, part, lies, looks, cls = (batch.column(c).to_numpy() for c in range(5))
+            x = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(-1, dim)
+            query = lies < 0
+            cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(grp)], strict=True):
                 if lo == hi:
                     continue
-                if at != (leaf[lo], part[lo]):
-                    at, held, names, block = (leaf[lo], part[lo]), [], [], None
-                if role[lo] == 0:
-                    held.append(x[lo:hi])
-                    names.append(cls[lo:hi])
-                    continue
-                if not held:
+                if at != (grp[lo], part[lo]):
+                    if not closed:
+                        yield from group.close()
+                    at, group, closed = (grp[lo], part[lo]), Group(k), False
+                if not query[lo]:
+                    group.add(lies[lo:hi], looks[lo:hi], cls[lo:hi], x[lo:hi])
                     continue
-                if block is None:
-                    block, ids = np.concatenate(held), np.concatenate(names)
-                for q in range(lo, hi, 1000):
-                    s = x[q : min(q + 1000, hi)] @ block.T
-                    c = cls[q : min(q + 1000, hi)]
-                    s[c[:, None] == ids[None, :]] = -9
-                    top = best(s, k)
-                    out = np.empty(top.shape, _FOUND)
-                    out["other"], out["cos"] = ids[top], np.take_along_axis(s, top, axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(c), pa.array([r.tobytes() for r in out], pa.binary())], ["cls", "found"])
+                if not closed:
+                    yield from group.close()
+                    closed = True
+                yield from group.answer(looks[lo:hi], cls[lo:hi], x[lo:hi])
+        if not closed:
+            yield from group.close()
 
     return run
 
@@ -201,7 +311,7 @@ def _merged(k: int):
 def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: Search | None = None) -> DataFrame:
     """(key, rank, other, cosine): the k most similar other rows of every row, rank from 1; equal cosines in the order of keys.
 
-    Null and all-zero vectors, vectors with null or not finite elements, and vectors of another length than the longest take no part.
+    Null and all-zero vectors, vectors with null or not finite elements, and vectors of another length than most have take no part.
     Rows alike in key and vector count once; rows of one key are not each other's neighbours. Equal vectors are one class
     while searched, so copies cost nothing. With fewer than k other rows, all come. An empty table gives no rows; other columns
     are dropped. Every row is indexed and is a query.
@@ -209,7 +319,8 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     search = search or Search()
     kind = df.schema[key].dataType.simpleString()
     given = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{vector}`").cast("array<double>").alias("v")).where("v is not null and not exists(v, x -> x is null)")
-    dim = given.agg(F.max(F.size("v"))).first()[0]
+    sizes = given.where("size(v) > 0").groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"))
+    dim = (sizes.orderBy(F.desc("n"), "d").first() or [0])[0]
     out_names = [key, "rank", "other", "cosine"]
     if not dim:
         return df.select(F.col(f"`{key}`").alias("id"), F.lit(0).alias("rank"), F.col(f"`{key}`").alias("other"), F.lit(0.0).alias("cosine")).where("false").toDF(*out_names)
@@ -217,17 +328,32 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     members = units.select("id", "cls").distinct()
     vectors = cut(units.groupBy("cls").agg(F.first("vec").alias("vec")))
     n = vectors.count()
-    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / search.leaf))), int(np.log2(max(1, search.sample / 16)))))
-    visits = max(search.visits, int(np.ceil(search.visits * search.leaf * (1 << depth) / max(1, n))))  # smaller leaves, more of them
-    share = max(1, n // search.sample)
-    taken = [r.vec for r in vectors.where(F.pmod(F.xxhash64("cls"), F.lit(share)) == 0).select("vec").limit(search.sample).collect()]
-    forest = fit_forest(np.frombuffer(b"".join(taken), np.float32).reshape(-1, dim), depth, search.trees if depth else 1, search.seed)
+    depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / search.leaf))), int(np.log2(max(1, search.sample / search.a_node)))))
+    span = 1 << 40
+
+    def taken(most: int, seed: int) -> list:
+        """About so many vectors, at most so many, of least mixed hashes: the same ones however the table is laid out."""
+        h = F.pmod(F.xxhash64("cls", F.lit(seed)), F.lit(span))
+        some = vectors.where(h < min(span, -(-span * most * 5 // (4 * max(1, n))))).select(h.alias("h"), "cls", "vec").limit(2 * most)
+        return sorted(some.collect(), key=lambda r: (r.h, r.cls))[:most]
+
+    fitted = np.frombuffer(b"".join(r.vec for r in taken(min(search.sample, max(20_000, search.a_node << depth)), search.seed)), np.float32).reshape(-1, dim)
+    forest = fit_forest(fitted, depth, search.trees if depth else 1, search.seed)
+    visits = 1
+    if depth:
+        asked = taken(search.asked, search.seed + 1)
+        x, names = np.frombuffer(b"".join(r.vec for r in asked), np.float32).reshape(-1, dim), np.array([r.cls for r in asked], np.int64)
+        exact = vectors.select("cls", "vec").mapInArrow(_exact(x, names, k), "q int, cos double, vec binary")
+        exact = exact.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cos"), "vec"))).where(F.col("r") <= k).select("q", "vec").collect()  # k for each asked
+        near = [np.frombuffer(b"".join(r.vec for r in exact if r.q == q), np.float32).reshape(-1, dim) for q in range(len(names))]
+        visits = visits_for(forest, x, near, search.recall, search.visits)
+    levels = min(search.near, depth)
     parts: dict[int, int] = {}
-    if n * 2 > search.block << depth:  # only then a leaf may exceed a block; one row a leaf, of which there are few
-        counted = vectors.mapInArrow(_leaf_only(forest, dim), "leaf int").groupBy("leaf").count().where(F.col("count") > search.block).collect()
-        parts = {r["leaf"]: -(-r["count"] // search.block) for r in counted}
-    laid = vectors.select("cls", "vec").mapInArrow(_laid_out(forest, dim, visits, parts), "leaf int, part int, role int, cls long, vec binary")
-    scored = laid.repartition("leaf", "part").sortWithinPartitions("leaf", "part", "role").mapInArrow(_ranked(dim, k), "cls long, found binary")
+    if n * 2 > search.block << (depth - levels):  # only then a group may exceed a block; one row a group, of which there are few
+        counted = vectors.mapInArrow(_groups_only(forest, dim, levels), "grp int").groupBy("grp").count().where(F.col("count") > search.block).collect()
+        parts = {r["grp"]: -(-r["count"] // search.block) for r in counted}
+    laid = vectors.select("cls", "vec").mapInArrow(_laid_out(forest, dim, visits, levels, parts), "grp int, part int, lies int, looks int, cls long, vec binary")
+    scored = laid.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lies") < 0).mapInArrow(_ranked(dim, k), "cls long, found binary")
     top = scored.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged(k), "cls long, other long, cos float")
 
     firsts = members.withColumn("n", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("cls").alias("other"), F.col("id").alias("oid"))
@@ -239,10 +365,10 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     return each.select("id", (F.col("p") + 1).alias("rank"), F.col("e.oid").alias("other"), F.col("e.cos").cast("double").alias("cosine")).toDF(*out_names)
 
 
-def _leaf_only(forest: list, dim: int):
+def _groups_only(forest: list, dim: int, near: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.float32).reshape(-1, dim)
-            yield pa.RecordBatch.from_arrays([pa.array(leaves(forest, x).ravel())], ["leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(leaves(forest, x).ravel() >> near)], ["grp"])
 
     return run

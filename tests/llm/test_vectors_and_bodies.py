@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 from quillspark.llm.main_content import Labeller, Reader, Recurrence, blocks, heading, main_lines, recurrence, sample_of, train
-from quillspark.llm.nearest_vectors import Search, nearest_vectors
+from quillspark.llm.nearest_vectors import Search, fit_forest, leaves, nearest_vectors, popped, visits_for
 
 
 def exact(rows, k):
@@ -19,7 +19,7 @@ def test_recall_and_small_blocks(spark):
     rows = [(f"{k:05}", v.tolist()) for k, v in enumerate(rng.normal(size=(3000, 16)))]
     df = spark.createDataFrame([(*r, 1) for r in rows], "id string, embedding array<float>, cls int")
     truth, _ = exact(rows, 10)
-    for search in (Search(leaf=200, visits=24), Search(leaf=200, visits=24, block=60)):
+    for search in (Search(leaf=200), Search(leaf=200, block=60), Search(leaf=50, near=1), Search(leaf=100, near=9, recall=0.99)):
         got = {}
         for r in nearest_vectors(df, "id", "embedding", 10, search).collect():
             got.setdefault(r.id, set()).add(int(r.other))
@@ -27,9 +27,30 @@ def test_recall_and_small_blocks(spark):
         assert len(got) == 3000 and all(len(v) == 10 for v in got.values()) and recall >= 0.9
 
 
+def test_the_queue():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(500, 8)).astype(np.float32)
+    forest = fit_forest(x, 5, 3, 1)
+    # The far sides of all cuts above each leaf, without pruning.
+    far = np.zeros((500, 3 * 32))
+    for t, levels in enumerate(forest):
+        for leaf in range(32):
+            for level, (ways, at) in enumerate(levels):
+                node, right = leaf >> (5 - level), leaf >> (4 - level) & 1
+                m = x @ ways[node] - at[node]
+                far[:, t * 32 + leaf] += np.square(np.maximum(-m if right else m, 0))
+    for visits in (1, 7, 40, 96):
+        got = popped(forest, x, visits)
+        assert got.shape == (500, visits)
+        np.testing.assert_allclose(np.take_along_axis(far, got, 1), np.sort(far, axis=1)[:, :visits], rtol=1e-3, atol=1e-5)
+    # A vector's own leaves come first, but for vectors that lie on a cut.
+    assert np.mean([set(own) <= set(seen) for own, seen in zip(leaves(forest, x), popped(forest, x, 3), strict=True)]) > 0.8
+    assert visits_for(forest, x[:9], [x[k : k + 1] for k in range(9)], 1.0, 1) <= 3 and visits_for(forest, x[:2], [x[:0]] * 2, 0.9, 5) == 5
+
+
 def test_unusable_copies_and_ties(spark):
     v = [1.0, 0.0]
-    rows = [("a", v), ("a", v), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [1.0, None]), ("g", [1.0]), ("h", [float("nan"), 1.0]), (None, [1.0, 1.0])]
+    rows = [("a", v), ("a", v), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [1.0, None]), ("g", [1.0]), ("h", [float("nan"), 1.0]), (None, [1.0, 1.0]), ("i", [1.0, 2.0, 3.0]), ("j", [])]
     df = spark.createDataFrame(rows, "id string, embedding array<double>")
     got = {}
     for r in nearest_vectors(df, "id", "embedding", 10).orderBy("rank").collect():
