@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,17 +37,16 @@ def normalize_page(c: Column | str) -> Column:
     return F.when(number, F.coalesce(text.try_cast("double").try_cast("bigint").cast("string"), text)).otherwise(text)
 
 
-def same_source(file_a: Column, page_a: Column, file_b: Column, page_b: Column) -> Column:
-    """Whether two citations name the same page; null pages are equal."""
-    return (normalize_path(file_a) == normalize_path(file_b)) & normalize_page(page_a).eqNullSafe(normalize_page(page_b))
+_TRAILER = rf"(?iU){_WS}*CITED:{_WS}*(none|[\d,\s\x1c-\x1f]+)\z"
 
 
-_TRAILER = rf"(?iU){_WS}*CITED:{_WS}*(none|[\d,\s\x1c-\x1f]+)\z"
+#: Decimal digits of all scripts but ASCII's own, and what they stand for.
+_DIGITS = {chr(c): str(unicodedata.digit(chr(c))) for c in range(128, sys.maxunicode) if unicodedata.category(chr(c)) == "Nd"}
 
 
 def cited_numbers(answer: Column | str) -> Column:
-    """Numbers of the citation trailer at the answer's end, in their order; none without a trailer."""
-    body = F.regexp_extract(strip(answer), _TRAILER, 1)
+    """Numbers of the citation trailer at the answer's end, in digits of any script, in their order; none without a trailer."""
+    body = F.translate(F.regexp_extract(strip(answer), _TRAILER, 1), "".join(_DIGITS), "".join(_DIGITS.values()))
     return F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"\d+"), F.lit(0)), lambda x: x.try_cast("int")), lambda x: x.isNotNull())
 
 
@@ -66,18 +68,20 @@ def parse_judgement(reply: Column | str) -> Column:
     """struct<reasoning, similarity_score, is_refusal, is_hallucination, status> of a judge's reply.
 
     A fence around it, text around the outermost braces and comments are dropped; if the rest is no JSON, the fields are read one by
-    one from what stands within the braces. ``status``: json, fields, or error if there is no score. A score that is
+    one from what stands within the braces, or from the whole reply where there are none. ``status``: json, fields, or error if there is no score. A score that is
     no number stays null.
     """
     text = strip(reply)
     text = F.when(text.rlike(r"(?s)\A```.*```\z"), F.regexp_replace(text, r"\A```[A-Za-z]*\s*|\s*```\z", "")).otherwise(text)
-    inner = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    braced = F.regexp_extract(text, r"(?s)\{.*\}", 0)
+    inner = F.when(braced == "", text).otherwise(braced)
     plain = F.regexp_replace(F.regexp_replace(inner, r"(?s)/\*.*?\*/", ""), r"//[^\n]*", "")
     as_json = F.try_parse_json(plain)
     get = lambda path, kind: F.try_variant_get(as_json, f"$.{path}", kind)
+    # How the fields of a reply are written.
     flag = lambda name: F.coalesce(F.regexp_extract(inner, rf'"{name}"\s*:\s*(true|false)', 1) == "true", F.lit(False))
     score = F.regexp_extract(inner, r'"similarity_score"\s*:\s*(\d+)', 1).try_cast("double")
-    of_json = as_json.isNotNull()
+    of_json = as_json.isNotNull() & plain.rlike(r"\A\s*\{")  # a text that only begins with a value parses too
     text_score = get("similarity_score", "string")
     json_score = F.when(plain.rlike(r'"similarity_score"\s*:\s*"'), F.lit(None)).otherwise(text_score.try_cast("double"))
     pick = lambda a, b: F.when(of_json, a).otherwise(b)
@@ -94,11 +98,14 @@ def citation_result(candidates: Column, groups: Column) -> Column:
     """struct<is_fully_correct, score, satisfied_groups_count, details> of cited pages against groups, each of which any of its pages
     satisfies; ``details`` names each group's first match in the order of its options, then of the candidates."""
     empty = F.array().cast("array<struct<file:string,page:string>>")
-    cited = F.coalesce(candidates, empty)
+    named = lambda e: F.struct(normalize_path(e["file"]).alias("file"), normalize_page(e["page"]).alias("page"))
+    # Normal forms are made once for each citation and option, not for each pair of them.
+    cited = F.transform(F.coalesce(candidates, empty), lambda c: F.struct(c.alias("own"), named(c).alias("name")))
 
     def judged(g: Column, i: Column) -> Column:
         options = F.coalesce(g["any_of"], empty)
-        matches = F.flatten(F.transform(options, lambda o: F.filter(cited, lambda c: same_source(c["file"], c["page"], o["file"], o["page"]))))
+        wanted = F.transform(options, named)
+        matches = F.flatten(F.transform(wanted, lambda o: F.transform(F.filter(cited, lambda c: c["name"].eqNullSafe(o)), lambda c: c["own"])))
         return F.struct(i.cast("int").alias("group_index"), (F.size(matches) > 0).alias("satisfied"), F.get(matches, F.lit(0)).alias("matched_with"), options.alias("options"))
 
     details = F.transform(F.coalesce(groups, F.array().cast("array<struct<any_of:array<struct<file:string,page:string>>>>")), judged)
@@ -119,8 +126,17 @@ def unit(v: Column | str) -> Column:
     return F.transform(v, lambda x: x.cast("double") / F.nullif(F.sqrt(dot(v, v)), F.lit(0.0)))
 
 
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
+def round3(x: Column | str) -> Column:
+    """To three places as the exact binary value demands, ties to even; the product with 1000 is taken without error, in two parts."""
+    x = _col(x).cast("double")
+    high = x * 134217729.0
+    high = high - (high - x)
+    product = x * 1000.0
+    rest = (high * 1000.0 - product) + (x - high) * 1000.0
+    whole = F.floor(product).cast("double")
+    over = (product - whole - 0.5) + rest
+    up = (over > 0) | (over == 0) & (F.pmod(whole, F.lit(2.0)) == 1)
+    return F.when(F.abs(x) < 1e12, (whole + up.cast("double")) / 1000.0).otherwise(x)
 
 
 def model_prefix(model: str, kind: str) -> str:

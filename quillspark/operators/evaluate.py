@@ -15,6 +15,13 @@ def last_wins(df: DataFrame, key: str, order: str | Column) -> DataFrame:
     return df.groupBy(F.col(key).alias("__key__")).agg(F.max_by(F.struct(*df.columns), order if isinstance(order, Column) else F.col(order)).alias("row")).select("row.*")
 
 
+def latest(df: DataFrame, key: str = "id", order: str = "line") -> DataFrame:
+    """One row a key: the last by ``order`` where there is such a column (of json_lines), else the greatest of all fields."""
+    if order in df.columns:
+        return last_wins(df, key, order)
+    return last_wins(df, key, F.struct(*[c for c in df.columns if c != key]))
+
+
 def pending(questions: DataFrame, done: DataFrame, retry_failed: bool = False) -> DataFrame:
     """Questions whose id is in no answer yet; failures count as answered unless ``retry_failed``."""
     ids = done.where("endpoint_error is null") if retry_failed else done
@@ -28,10 +35,11 @@ def citation_scores(questions: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def evaluate(questions: DataFrame, answers: DataFrame, verdicts: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(rows, summary). ``verdicts`` (id, reply): the judge's replies. ``rows``: id, answer_score, citation_score, hallucinate, latency,
+    """(rows, summary). ``verdicts`` (id, reply): the judge's replies. Of several answers or verdicts of an id the last counts (see latest). ``rows``: id, answer_score, citation_score, hallucinate, latency,
     parse_status, error; a question without answer or readable verdict has an error and no score. ``strict`` fails on the first
     error instead. A score of 1 is a hallucination. ``summary``: of summarize."""
-    judged = verdicts.select("id", parse_judgement("reply").alias("v"))
+    answers = latest(answers.select(*[c for c in ("id", "citations", "latency_ms", "line") if c in answers.columns]))
+    judged = latest(verdicts.select(*[c for c in ("id", "reply", "line") if c in verdicts.columns])).select("id", parse_judgement("reply").alias("v"))
     rows = citation_scores(questions, answers).join(answers.select("id", "latency_ms", F.lit(True).alias("answered")), "id", "left").join(judged, "id", "left")
     error = F.when(F.col("answered").isNull(), "no answer").when(F.col("v").isNull() | (F.col("v.status") == "error"), "no readable verdict")
     score = F.col("v.similarity_score")
@@ -55,16 +63,29 @@ def summarize(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def report(questions: DataFrame, answers: DataFrame, evals: DataFrame) -> DataFrame:
-    """(pos, id, question, expected, answer, score, hallucinate): every question, in its place, with defaults for what's missing."""
+    """(pos, id, question, expected, answer, score, citation_score, hallucinate): every question, in its place, with defaults for what's missing;
+    of several answers or evaluations of an id the last counts (see latest)."""
     text = lambda c, other: F.coalesce(F.col(c).cast("string"), F.lit(other))
+    answers, evals = latest(answers.select(*[c for c in ("id", "answer", "line") if c in answers.columns])), latest(evals.select(*[c for c in ("id", "answer_score", "citation_score", "hallucinate", "line") if c in evals.columns]))
     return questions.select("pos", "id", "question", "ground_truth_answer").join(answers.select("id", "answer"), "id", "left").join(
-        evals.select("id", "answer_score", "hallucinate"), "id", "left"
-    ).select("pos", "id", "question", text("ground_truth_answer", MISSING).alias("expected"), text("answer", MISSING).alias("answer"), text("answer_score", UNKNOWN).alias("score"), text("hallucinate", UNKNOWN).alias("hallucinate"))
+        evals.select("id", "answer_score", "citation_score", "hallucinate"), "id", "left"
+    ).select(
+        "pos", "id", "question", text("ground_truth_answer", MISSING).alias("expected"), text("answer", MISSING).alias("answer"), text("answer_score", UNKNOWN).alias("score"),
+        text("citation_score", UNKNOWN).alias("citation_score"), text("hallucinate", UNKNOWN).alias("hallucinate"),
+    )
+
+
+# The layout of a question in the report; what stands above and below its id.
+RULE = "=" * 80
+LAYOUT = (
+    "%1$s\nID: %2$s\n%1$s\n\nQUESTION:\n%3$s\n\nREFERENCE ANSWER:\n%4$s\n\nGENERATED ANSWER:\n%5$s\n\n"
+    "SCORES:\n  answer_score:   %6$s\n  citation_score: %7$s\n  Hallucinate:    %8$s\n\n"
+)
 
 
 def report_lines(rows: DataFrame) -> DataFrame:
-    """(pos, line): a block of text for every row of a report."""
-    return rows.select("pos", F.format_string("id: %s\nquestion: %s\nexpected: %s\nanswer: %s\nscore: %s\nhallucinate: %s\n", "id", "question", "expected", "answer", "score", "hallucinate").alias("line"))
+    """(pos, line): a block of text for every row of a report; a line break follows each when it is written."""
+    return rows.select("pos", F.format_string(LAYOUT, F.lit(RULE), "id", "question", "expected", "answer", "score", "citation_score", "hallucinate").alias("line"))
 
 
 def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
@@ -24,18 +26,46 @@ SYSTEM_PROMPTS = {
 DEFAULT_PROMPT = "v4"
 
 
+@dataclass(frozen=True)
+class Call:
+    """How a model is asked: its instructions, limits on its reply, seconds it may take, and prompts of a task that are under way at once."""
+
+    system: str = SYSTEM_PROMPTS[DEFAULT_PROMPT]
+    max_tokens: int = 1024
+    temperature: float = 0.2
+    timeout: float = 120.0
+    at_once: int = 8
+
+
+#: How a judge is asked: it compares, so it should not vary.
+JUDGE = Call(
+    "Compare the candidate with the ground truth. Reply with a JSON object of reasoning (text), similarity_score (1 to 5, whole), is_refusal and is_hallucination (true or false).",
+    temperature=0.0, timeout=180.0,
+)
+
+
 class Generator(Protocol):
-    """reply: (text, prompt tokens, completion tokens) for a prompt; an exception is recorded as the row's error."""
+    """reply: (text, prompt tokens, completion tokens) for a prompt; an exception is recorded as the row's error. Called by several threads."""
 
-    def reply(self, id: str, prompt: str) -> tuple[str, int, int]: ...
+    def reply(self, id: str, prompt: str, call: Call) -> tuple[str, int, int]: ...
 
 
 class EchoGenerator:
-    """Deterministic stand-in for a model: the first source's first sentence, cited."""
+    """Deterministic stand-in for a model: the first source's first sentence, cited if the instructions ask for that."""
 
-    def reply(self, id: str, prompt: str) -> tuple[str, int, int]:
+    def reply(self, id: str, prompt: str, call: Call) -> tuple[str, int, int]:
         body = prompt.split("\n", 1)[-1].split(". ")[0].strip()
-        return f"{body}.\nCITED: 1", len(prompt.split()), len(body.split())
+        return f"{body}." + "\nCITED: 1" * ("CITED" in call.system), len(prompt.split()), len(body.split())
+
+
+class OverlapJudge:
+    """Deterministic stand-in for a judge: the share of the true answer's words that the candidate has."""
+
+    def reply(self, id: str, prompt: str, call: Call) -> tuple[str, int, int]:
+        truth, _, said = prompt.removeprefix("Ground truth:\n").partition("\n\nCandidate:\n")
+        words, has = set(truth.lower().split()), set(said.lower().split())
+        score = 1 + round(4 * len(words & has) / max(1, len(words)))
+        return f'{{"reasoning": "words in common", "similarity_score": {score}, "is_refusal": {str(not has).lower()}, "is_hallucination": {str(score == 1).lower()}}}', len(prompt.split()), 4
 
 
 def route_model(model: str, base_url: str | None = None) -> str:
@@ -61,26 +91,44 @@ def judge_prompts(questions: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def generate(prompts: DataFrame, generator: Generator) -> DataFrame:
-    """(id, reply, prompt_tokens, completion_tokens, latency_ms, error). Write it before it's used twice, or the model is asked twice."""
+def generate(prompts: DataFrame, generator: Generator, call: Call | None = None) -> DataFrame:
+    """(id, reply, prompt_tokens, completion_tokens, latency_ms, error), several prompts of a task at once. A reply that takes too long is an
+    error too. Write it before it's used twice, or the model is asked twice."""
+    call = call or Call()
+
+    def one(i: str, prompt: str) -> tuple:
+        began = time.perf_counter()
+        try:
+            text, n_in, n_out = generator.reply(i, prompt, call)
+            took = time.perf_counter() - began
+            error = f"TimeoutError: {took:.0f} s" if took > call.timeout else None
+        except Exception as e:
+            text, n_in, n_out, took, error = None, None, None, time.perf_counter() - began, f"{type(e).__name__}: {e}"
+        return (i, None, None, None, took * 1000, error) if error else (i, text, n_in, n_out, took * 1000, None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, p in zip(b.id, b.prompt, strict=True):
-                began = time.perf_counter()
-                try:
-                    text, n_in, n_out = generator.reply(i, p)
-                    error = None
-                except Exception as e:
-                    text, n_in, n_out, error = None, None, None, f"{type(e).__name__}: {e}"
-                rows.append((i, text, n_in, n_out, (time.perf_counter() - began) * 1000, error))
-            frame = pd.DataFrame(rows, columns=["id", "reply", "prompt_tokens", "completion_tokens", "latency_ms", "error"])
-            yield frame.astype({"prompt_tokens": "Int32", "completion_tokens": "Int32"})
+        with ThreadPoolExecutor(call.at_once) as pool:
+            for b in batches:
+                asked = [(i, pool.submit(one, i, p)) for i, p in zip(b.id, b.prompt, strict=True)]
+                rows = []
+                for i, f in asked:
+                    try:  # in its turn: what waits for a free thread has its time still before it
+                        rows.append(f.result(call.timeout * (1 + len(asked) / call.at_once)))
+                    except TimeoutError:
+                        rows.append((i, None, None, None, call.timeout * 1000, f"TimeoutError: {call.timeout:.0f} s"))
+                frame = pd.DataFrame(rows, columns=["id", "reply", "prompt_tokens", "completion_tokens", "latency_ms", "error"])
+                yield frame.astype({"prompt_tokens": "Int32", "completion_tokens": "Int32"})
 
     return prompts.select("id", "prompt").mapInPandas(run, "id string, reply string, prompt_tokens int, completion_tokens int, latency_ms double, error string")
 
 
+def judge(questions: DataFrame, answers: DataFrame, judge: Generator | DataFrame, call: Call = JUDGE) -> DataFrame:
+    """Verdicts (id, reply, error) on all answered questions, by a model or by recorded replies of the role "judge"."""
+    asked = judge_prompts(questions, answers)
+    replies = replay(asked, judge, "judge") if isinstance(judge, DataFrame) else generate(asked, judge, call)
+    return replies.select("id", "reply", "error")
+
+
 def replay(prompts: DataFrame, replies: DataFrame, role: str = "answer") -> DataFrame:
     """What generate gives, from recorded replies (id, role, reply, prompt_tokens, completion_tokens); a prompt without one has an error."""
     own = replies.where(F.col("role") == role).select("id", "reply", "prompt_tokens", "completion_tokens", F.lit(1).alias("known"))

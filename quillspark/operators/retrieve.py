@@ -1,4 +1,4 @@
-"""Index records and the k most similar of them for each of a bounded set of queries, exactly."""
+"""Index records and the k most similar of them for each query, exactly."""
 
 from __future__ import annotations
 
@@ -6,13 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Queries scored in one pass over the index; a block of so many is what goes to every task.
-BLOCK = 2048
+#: Records that a task holds at once; queries it scores at once.
+RECORDS, QUERIES = 50_000, 500
 
 
 def index_records(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -21,57 +20,70 @@ def index_records(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
     return chunks.distinct().join(usable, "id").withColumn("url", F.coalesce("url", F.lit("")))
 
 
-def _scorer(ids: list, q: np.ndarray, k: int):
+def _unit_rows(batch: pa.RecordBatch, n: int) -> np.ndarray:
+    x = batch.column(n).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+
+
+def _best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of q and x, and their product, of the k greatest of each q, with all that equal the k-th."""
+    s = q @ x.T
+    if s.shape[1] <= k:
+        row, col = np.nonzero(np.ones(s.shape, bool))
+    else:
+        row, col = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None] - 1e-12)
+    return row, col, s[row, col]
+
+
+def _scored(k: int):
+    """Of sorted rows (part, role, q_id, chunk_id, v), a part's records first: the best records of the part for each query."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_s, held_i = np.zeros((len(ids), 0)), np.zeros((len(ids), 0), object)
-        for b in (big.slice(at, 1000) for big in batches for at in range(0, big.num_rows, 1000)):
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            names = np.empty(b.num_rows, object)
-            names[:] = b.column(0).to_pylist()
-            s = np.concatenate([held_s, q @ x.T], axis=1)
-            i = np.concatenate([held_i, np.broadcast_to(names, (len(ids), len(names)))], axis=1)
-            kth = np.partition(s, -min(k, s.shape[1]), axis=1)[:, -min(k, s.shape[1])]
-            # All of the k-th score are kept till the last ranking, so that ties go by id.
-            keep = s >= kth[:, None] - 1e-12
-            most = int(keep.sum(axis=1).max())
-            order = np.argsort(~keep, axis=1, kind="stable")[:, :most]
-            held_s = np.where(np.take_along_axis(keep, order, 1), np.take_along_axis(s, order, 1), -9.0)
-            held_i = np.take_along_axis(i, order, 1)
-            if most > 4 * k + 64:  # many ties: rank now, by id among equals
-                rank = np.stack([sorted(range(most), key=lambda c, r=r: (-round(held_s[r, c], 9), held_i[r, c]))[:k] for r in range(len(ids))])
-                held_s, held_i = np.take_along_axis(held_s, rank, 1), np.take_along_axis(held_i, rank, 1)
-        if held_s.shape[1]:
-            row, col = np.nonzero(held_s > -5)
-            yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(list(held_i[row, col])), pa.array(held_s[row, col])], ["q", "chunk_id", "score"])
+        part, records, x = None, [], None
+        for batch in batches:
+            keys = batch.column(0).to_numpy().astype(np.int64) * 2 + batch.column(1).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            for lo, hi in zip([0, *cuts], [*cuts, len(keys)], strict=True):
+                if lo == hi:
+                    continue
+                rows = batch.slice(lo, hi - lo)
+                if keys[lo] >> 1 != part:
+                    part, records, x = keys[lo] >> 1, [], None
+                if not keys[lo] & 1:
+                    records.append(rows)
+                    continue
+                if not records:
+                    continue
+                if x is None:
+                    x = np.concatenate([_unit_rows(r, 4) for r in records])
+                    names = pa.concat_arrays([r.column(3) for r in records])
+                for at in range(0, rows.num_rows, QUERIES):
+                    some = rows.slice(at, QUERIES)
+                    row, col, s = _best(_unit_rows(some, 4), x, k)
+                    yield pa.RecordBatch.from_arrays([some.column(2).take(pa.array(row)), names.take(pa.array(col)), pa.array(s)], ["q_id", "chunk_id", "score"])
 
     return run
 
 
-def top_k(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding", block: int = BLOCK) -> DataFrame:
+def top_k(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vector: str = "embedding", records: int = RECORDS) -> DataFrame:
     """(q_id, rank, chunk_id, score): for each query (id, embedding) the k records of greatest cosine; ties by id.
 
-    The queries are a stated set that fits on the driver; they are scored in blocks of ``block``, each in one pass over the index that
-    keeps k a query and task, so the shuffle has no more than that. Null vectors take no part.
+    Any number of queries: they are data like the records and never gathered. The records are laid out in parts of ``records``, every part
+    meets every query once, and only k rows a query and part are ranked. Null vectors take no part.
     """
-    rows = queries.where("embedding is not null").select("id", "embedding").distinct().collect()
-    spark, kind = index.sparkSession, index.schema[key].dataType.simpleString()
-    q_kind = queries.schema["id"].dataType.simpleString()
-    records = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("id"), F.col(vector).alias("v"))
-    if len(rows) > block:  # each block is a pass; the records are made once
-        records = records.persist(StorageLevel.MEMORY_AND_DISK)
-    found = spark.createDataFrame([], f"q_id {q_kind}, chunk_id {kind}, score double")
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        q = np.array([r.embedding for r in part], np.float64)
-        q /= np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        names = F.create_map(*[F.lit(x) for n, r in enumerate(part) for x in (n, r.id)]) if len(part) < 50 else None
-        scored = records.mapInArrow(_scorer([r.id for r in part], q, k), f"q int, chunk_id {kind}, score double")
-        if names is not None:
-            named = scored.withColumn("q_id", names[F.col("q")])
-        else:
-            named = scored.join(F.broadcast(spark.createDataFrame([(n, r.id) for n, r in enumerate(part)], f"q int, q_id {q_kind}")), "q")  # of block rows
-        found = found.unionByName(named.select("q_id", "chunk_id", "score"))
+    k_kind, q_kind = index.schema[key].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
+    held = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
+    asked = queries.where("embedding is not null").select(F.col("id").alias("q_id"), F.col("embedding").cast("array<double>").alias("v")).distinct()
+    parts = max(1, -(-held.count() // records))
+    layout = ("part", "role", "q_id", "chunk_id", "v")
+    data = held.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("role"), F.lit(None).cast(q_kind).alias("q_id"), "chunk_id", "v")
+    meets = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("role"), "q_id", F.lit(None).cast(k_kind).alias("chunk_id"), "v")
+    if parts == 1:  # a few records meet the queries where these lie, in as many tasks as there are
+        tasks = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+        meets = meets.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(tasks)).cast("int"))
+        parts = tasks
+    both = data.select(*layout).unionByName(meets.select(*layout)).repartition(parts, "part").sortWithinPartitions("part", "role")
+    found = both.mapInArrow(_scored(k), f"q_id {q_kind}, chunk_id {k_kind}, score double")
     rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "chunk_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "rank", "chunk_id", "score")
 

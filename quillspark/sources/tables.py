@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quillspark.functions.text import strip
@@ -21,10 +22,6 @@ ANSWERS = (
 CHUNKS = "id string, file string, domain string, kind string, url string, page int, chunk_index int, text string"
 EVALS = "id string, answer_score double, citation_score double, hallucinate boolean, latency double"
 VECTORS = "id string, embedding array<float>, fingerprint string"
-#: Bodies of a request to the service and of its response.
-ASK_REQUEST = "question string, session_id string"
-ASK_RESPONSE = "answer string, citations array<struct<file:string,page:int,quote:string>>, domain string, confidence double, latency_ms double, cost_usd double"
-
 
 def parsed_docs(spark: SparkSession, path: str) -> DataFrame:
     """Parsed documents, one JSON record a file, in any depth of folders."""
@@ -39,14 +36,30 @@ def failed(docs: DataFrame) -> DataFrame:
     return docs.where("error is not null").select("file", "error")
 
 
+# Where a corpus keeps its pages and its booklets.
+PLACES = ("*/pages/*.txt", "*/files/*.pdf")
+
+
+def _files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of the files of the raw corpus, at these places exactly; nothing else under root is opened."""
+    found = spark.createDataFrame([], "path string, content binary")
+    for place in PLACES:
+        try:
+            found = found.unionByName(spark.read.format("binaryFile").load(f"{root}/{place}").select("path", "content"))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return found
+
+
 def listing(spark: SparkSession, root: str) -> DataFrame:
-    """(file, domain, kind, path) of the raw corpus: ``<domain>/pages/*.txt`` and ``<domain>/files/*.pdf`` under root."""
-    found = None
-    for sub, ext in (("pages", "txt"), ("files", "pdf")):
-        f = spark.read.format("binaryFile").option("pathGlobFilter", f"*.{ext}").option("recursiveFileLookup", True).load(root)
-        f = f.select(F.col("path")).where(F.col("path").rlike(rf"/[^/]+/{sub}/[^/]+\.{ext}$"))
-        found = f if found is None else found.unionByName(f)
-    return described(found.withColumn("file", F.regexp_extract("path", r"([^/]+/(?:pages|files)/[^/]+)$", 1)))
+    """(file, domain, kind, path) of the raw corpus: ``<domain>/pages/*.txt`` and ``<domain>/files/*.pdf`` right under root."""
+    return described(_files(spark, root).select("path", F.regexp_extract("path", r"([^/]+/(?:pages|files)/[^/]+)$", 1).alias("file")))
+
+
+def in_order(files: DataFrame) -> DataFrame:
+    """A listing for people: pages before booklets, each sorted part by part of their paths."""
+    return files.orderBy(F.col("kind") != "txt", F.split("file", "/"))
 
 
 def described(files: DataFrame) -> DataFrame:
@@ -69,13 +82,18 @@ def parse_text(data: bytes) -> list[tuple[int, str]]:
     return [(1, data.decode("utf-8").replace("\r\n", "\n").replace("\r", "\n"))]
 
 
+def numbered(pages: dict[int, str], whole: str) -> list[tuple[int, str]]:
+    """What a booklet's parser should return: its pages by number; without any, the whole text as page 1, or nothing if that is blank."""
+    return sorted(pages.items()) if pages else [(1, whole)] if whole.strip() else []
+
+
 def parse_corpus(spark: SparkSession, root: str, parsers: dict[str, Parser], urls: DataFrame, cache: DataFrame | None = None, force: bool = False) -> DataFrame:
     """Parsed documents of the raw corpus: those in ``cache``, errors too, are kept unless ``force``; the rest are parsed, each kind by its
     parser. A file that fails becomes a row with an error."""
     todo = listing(spark, root)
     if cache is not None and not force:
         todo = todo.join(cache.select("file"), "file", "left_anti")
-    data = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
+    data = _files(spark, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -103,8 +121,12 @@ def questions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of JSON lines with their place ``line`` (file order); blank lines are skipped, a malformed one fails."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path).withColumn("line", F.monotonically_increasing_id())
+    """Rows of JSON lines with their place ``line``, which orders by file name and place in the file; blank lines are skipped, a malformed
+    one fails."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    # A part of a file is one task's, in which ids rise.
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.monotonically_increasing_id().alias("row"))
+    return rows.select("*", at.alias("line"))
 
 
 def vectors(spark: SparkSession, path: str, fingerprints: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspark.functions.lineage import cut
 from quillspark.operators.embed import Encoder
 from quillspark.operators.evaluate import pending
 from quillspark.operators.generate import Generator
@@ -18,12 +20,13 @@ def answer_stream(questions: DataFrame, index: DataFrame, encoder: Encoder, gene
 
     def one(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = batch.select("id", "question").dropDuplicates(["id"])
+        new = cut(batch.select("id", "question").dropDuplicates(["id"]))
         try:
-            done = spark.read.parquet(out).where(F.col("batch") != number)
-            new = pending(new, done)
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            done = spark.read.parquet(out).select("id", "batch").where(F.col("batch") != number)
+            # Only answers of this batch's ids are looked for; the ids alone are read.
+            new = pending(new, done.join(new.select("id"), "id", "left_semi"))
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
         answer_questions(new, index, encoder, generator, k).write.mode("overwrite").parquet(f"{out}/batch={number}")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 import numpy as np
 import pytest
@@ -10,9 +11,9 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import evaluate as E
 from quillspark.operators.embed import HashingEncoder, embed, embed_cached, missing
-from quillspark.operators.generate import EchoGenerator, generate, prompts, replay, route_model
+from quillspark.operators.generate import SYSTEM_PROMPTS, Call, EchoGenerator, OverlapJudge, generate, prompts, replay, route_model
 from quillspark.operators.retrieve import index_records, top_k
-from quillspark.plans.answering import answer_questions, ask, submit
+from quillspark.plans.answering import answer_questions, ask, checked_requests, evaluate_with, health, submit
 from quillspark.sources import tables as S
 
 
@@ -29,8 +30,8 @@ def test_top_k_matches_brute_force(spark):
     x[50:60] = x[0]
     index = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(900, None)], "id long, embedding array<float>").repartition(5)
     q = spark.createDataFrame([(k, x[k].tolist()) for k in range(0, 300, 20)] + [(901, None)], "id long, embedding array<float>")
-    for block in (4, 100):
-        got = {(r.q_id, r["rank"]): r.chunk_id for r in top_k(q, index, 7, block=block).collect()}
+    for records in (40, 100_000):
+        got = {(r.q_id, r["rank"]): r.chunk_id for r in top_k(q, index, 7, records=records).collect()}
         f = x.astype(np.float32).astype(float)
         u = f / np.linalg.norm(f, axis=1, keepdims=True)
         for k in range(0, 300, 20):
@@ -64,7 +65,7 @@ def test_whole_run(spark, corpus):
 
 def test_errors_are_rows(spark):
     class Broken:
-        def reply(self, id, prompt):
+        def reply(self, id, prompt, call):
             raise OSError("down")
 
     p = spark.createDataFrame([("1", "x")], "id string, prompt string")
@@ -111,7 +112,43 @@ def test_evaluation(spark):
     r = {x.id: x for x in E.report(q, a, rows).collect()}
     assert (r["2"].expected, r["3"].answer, r["3"].score, r["1"].hallucinate) == ("[missing]", "[missing]", "N/A", "true")
     lines = E.report_lines(E.report(q, a, rows)).orderBy("pos").collect()
-    assert len(lines) == 3 and lines[0].line.startswith("id: 1\n")
+    assert len(lines) == 3 and lines[0].line.startswith("=" * 80 + "\nID: 1\n" + "=" * 80 + "\n\nQUESTION:\nq\n\nREFERENCE ANSWER:\nt\n\n") and lines[2].line.endswith("  answer_score:   N/A\n  citation_score: 1.0\n  Hallucinate:    N/A\n\n")
+
+
+def test_the_last_answer_counts(spark):
+    q = spark.createDataFrame([(0, "1", "q", "t", [])], f"pos int, id string, question string, ground_truth_answer string, ground_truth_sources {S.SOURCES}")
+    a = spark.createDataFrame([("1", "old", [], 5.0, 1), ("1", "new", [], 9.0, 2), ("1", "older", [], 1.0, 0)], "id string, answer string, citations array<struct<file:string,page:string>>, latency_ms double, line int")
+    v = spark.createDataFrame([("1", '{"similarity_score": 1}', 1), ("1", '"similarity_score": 4', 2)], "id string, reply string, line int")
+    rows, summary = E.evaluate(q, a, v)
+    assert [(r.answer_score, r.latency) for r in rows.collect()] == [(4.0, 9.0)] and summary.first()["count"] == 1
+    assert [r.answer for r in E.report(q, a, rows).collect()] == ["new"]
+
+
+def test_judge_and_service(spark, corpus):
+    q = spark.createDataFrame([("1", "q", "red apple", []), ("2", "q", "tax", [])], f"id string, question string, ground_truth_answer string, ground_truth_sources {S.SOURCES}")
+    a = spark.createDataFrame([("1", "a red apple", [], 1.0), ("2", "whale", [], 1.0)], "id string, answer string, citations array<struct<file:string,page:string>>, latency_ms double")
+    got = {r.id: (r.answer_score, r.hallucinate) for r in evaluate_with(q, a, OverlapJudge())[0].collect()}
+    assert got == {"1": (5.0, False), "2": (1.0, True)}
+    assert health() == {"status": "ok"}
+    assert [r.problem for r in checked_requests(spark.createDataFrame([("x",), (None,)], "question string")).collect()] == [None, "question: field required"]
+    one = ask(corpus, "red apple", HashingEncoder(), EchoGenerator(), session_id="s").first()
+    assert (one.domain, one.session_id) == ("d", "s") and 0 < one.confidence <= 1 and "apple" in one.citations[0].quote and one.cost_usd > 0
+    assert ask(corpus, "red apple", HashingEncoder(), EchoGenerator(), k=0).first().domain is None
+    with pytest.raises(ValueError, match="required"):
+        ask(corpus, None, HashingEncoder(), EchoGenerator())
+
+
+def test_how_a_model_is_asked(spark):
+    class Shown:
+        def reply(self, id, prompt, call):
+            if id == "slow":
+                time.sleep(1.5)
+            return f"{call.system} {call.max_tokens} {call.temperature}", 1, 1
+
+    p = spark.createDataFrame([("1", "x"), ("slow", "x")], "id string, prompt string")
+    got = {r.id: r for r in generate(p, Shown(), Call("do it", 7, 0.5, timeout=1, at_once=2)).collect()}
+    assert got["1"].reply == "do it 7 0.5" and got["slow"].error.startswith("TimeoutError") and got["slow"].reply is None
+    assert generate(p.limit(1), Shown()).first().reply.startswith(SYSTEM_PROMPTS["v4"])
 
 
 def test_diff_and_last(spark):
@@ -149,6 +186,19 @@ def test_sources(spark, tmp_path):
     assert S.good(docs).count() == 2 and S.failed(docs).count() == 1
     assert S.parse_corpus(spark, str(tmp_path / "corpus"), {}, S.manifest(spark, None), cache=docs).count() == 3
     assert S.manifest(spark, None).count() == 0
+    (raw / "pages/deeper").mkdir()
+    (raw / "pages/deeper/c.txt").write_text("not a page")
+    assert [r.file for r in S.in_order(S.listing(spark, str(tmp_path / "corpus"))).collect()] == ["dental/pages/a b.txt", "dental/pages/bad.txt", "dental/files/z.pdf"]
+    assert S.listing(spark, str(tmp_path / "out")).count() == 0
+    assert S.numbered({2: "b", 1: "a"}, "x") == [(1, "a"), (2, "b")] and S.numbered({}, "x") == [(1, "x")] and S.numbered({}, " ") == []
+
+
+def test_lines_of_several_files(spark, tmp_path):
+    for n, ids in (("b", ["1", "2"]), ("a", ["2", "3"])):
+        (tmp_path / f"{n}.jsonl").write_text("".join(json.dumps({"id": i, "answer": n + i}) + "\n" for i in ids))
+    rows = S.json_lines(spark, str(tmp_path), S.ANSWERS)
+    assert [r.answer for r in rows.orderBy("line").collect()] == ["a2", "a3", "b1", "b2"]
+    assert {r.answer for r in E.latest(rows).collect()} == {"b1", "b2", "a3"}
 
 
 def test_stream(spark, tmp_path, corpus):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +37,7 @@ HITS = [(1, "a.pdf", 4, "pdf"), (2, "b.txt", 1, "txt"), (3, "a.pdf", 4, "pdf"),
     [
         ("x\nCITED: 1,3", "x", [("a.pdf", 4)]), ("x cited: none", "x", []), ("x", "x", []), ("x CITED:", "x CITED:", []), ("x CITED: [1]", "x CITED: [1]", []), ("x CITED: 1.", "x CITED: 1.", []),
         ("x CITED: 0,99", "x", []), ("EXCITED: 1", "EX", [("a.pdf", 4)]), ("x CITED: 4 2", "x", [("c.pdf", 2), ("b.txt", None)]), ("CITED: 1\nCITED: 2", "CITED: 1", [("b.txt", None)]), ("x CITED: ,", "x", []),
+        ("x\nCITED: ٣, ۱", "x", [("a.pdf", 4)]), ("x CITED: ４", "x", [("c.pdf", 2)]), ("x CITED: 𝟐", "x", [("b.txt", None)]),
     ],
 )
 def test_citations(spark, answer, body, cited):
@@ -49,7 +52,7 @@ def test_citations(spark, answer, body, cited):
         ('{"reasoning":"ok","similarity_score":4,"is_refusal":false,"is_hallucination":true}', 4, "json"),
         ('```json\n{"similarity_score": 3}\n```', 3, "json"), ('text {"similarity_score": 2 /* c */} more', 2, "json"), ('{"similarity_score": 5 // five\n}', 5, "json"),
         ('{"reasoning":"see http://x.y","similarity_score":4}', 4, "fields"), ('{"reasoning":"a "quote" here","similarity_score":1,"is_hallucination": true}', 1, "fields"),
-        ('{"similarity_score":"5"}', None, "error"), ('{"similarity_score":4.5}', 4.5, "json"), ('{"reasoning":"x"}', None, "error"), ("no braces", None, "error"), ("", None, "error"), (None, None, "error"),
+        ('{"similarity_score":"5"}', None, "error"), ('{"similarity_score":4.5}', 4.5, "json"), ('{"reasoning":"x"}', None, "error"), ("no braces", None, "error"), ('"similarity_score": 4', 4, "fields"), ('I say "similarity_score": 2, "is_refusal": true', 2, "fields"), ("", None, "error"), (None, None, "error"),
     ],
 )
 def test_judgement(spark, reply, score, status):
@@ -82,3 +85,10 @@ def test_numbers(spark):
     assert one(spark, X.unit("v"), [3.0, 4.0], "array<float>") == [0.6, 0.8]
     assert one(spark, X.in_confidence_range("v"), float("nan"), "double") is False
     assert X.model_prefix("my-E5-model", "query") == "query: " and X.model_prefix("other", "query") == ""
+
+
+def test_round3_is_that_of_the_binary_value(spark):
+    rng = random.Random(1)
+    values = [0.1235, 0.0005, 0.0015, 2.5, 0.1245, -0.1235, 0.0, 1e-9, 123456.7895, 0.3125, 0.8125, 1e15, -0.0005] + [rng.randint(0, 20000) / 20000 for _ in range(500)] + [rng.random() for _ in range(500)]
+    rows = spark.createDataFrame([(v,) for v in values], "v double").select("v", X.round3("v").alias("r")).collect()
+    assert [(r.v, r.r) for r in rows if r.r != round(r.v, 3)] == []
