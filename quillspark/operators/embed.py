@@ -23,17 +23,25 @@ class Encoder(Protocol):
 
 
 class HashingEncoder:
-    """Deterministic stand-in for a model: signed hashed words, at length one."""
+    """Deterministic stand-in for a model: signed hashed words, at length one. The hashes are such that SQL has them too."""
 
     def __init__(self, name: str = "hashing-64", dim: int = 64):
-        self.name, self.dim = name, dim
+        self.name, self.dim, self.known = name, dim, {}
+
+    def place(self, word: str) -> tuple[int, int]:
+        if word not in self.known:
+            if len(self.known) > 200_000:
+                self.known.clear()
+            h = hashlib.md5(word.encode("utf-8", "surrogatepass"), usedforsecurity=False).hexdigest()
+            self.known[word] = int(h[:4], 16) % self.dim, 1 if h[4] >= "8" else -1
+        return self.known[word]
 
     def encode(self, texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), self.dim), np.float32)
+        out = np.zeros((len(texts), self.dim))
         for i, t in enumerate(texts):
             for w in (t or "").lower().split():
-                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-                out[i, h % self.dim] += 1 if h >> 63 else -1
+                at, sign = self.place(w)
+                out[i, at] += sign
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 

@@ -26,12 +26,12 @@ def _unit_rows(batch: pa.RecordBatch, n: int) -> np.ndarray:
 
 
 def _best(q: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of q and x, and their product, of the k greatest of each q, with all that equal the k-th."""
+    """Rows of q and x, and their product, of the k greatest of each q, with all that equal the k-th to nine places."""
     s = q @ x.T
     if s.shape[1] <= k:
         row, col = np.nonzero(np.ones(s.shape, bool))
     else:
-        row, col = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None] - 1e-12)
+        row, col = np.nonzero(s >= np.partition(s, -k, axis=1)[:, -k][:, None] - 1.1e-9)
     return row, col, s[row, col]
 
 
@@ -84,7 +84,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vec
         parts = tasks
     both = data.select(*layout).unionByName(meets.select(*layout)).repartition(parts, "part").sortWithinPartitions("part", "role")
     found = both.mapInArrow(_scored(k), f"q_id {q_kind}, chunk_id {k_kind}, score double")
-    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc("score"), "chunk_id"))
+    # Cosines that are equal to nine places are equal: the last ones depend on the layout.
+    rank = F.row_number().over(W.partitionBy("q_id").orderBy(F.desc(F.round("score", 9)), "chunk_id"))
     return found.distinct().withColumn("rank", rank).where(F.col("rank") <= k).select("q_id", "rank", "chunk_id", "score")
 
 
