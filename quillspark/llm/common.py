@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.functions.lineage import cut
+
+__all__ = ["INVISIBLE", "TOKENIZER_DIR", "cut", "hash64", "mix64", "pages", "table"]
+
 #: Where the public tokenizers' files lie unless the caller says otherwise.
 TOKENIZER_DIR = os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers")
 
@@ -30,15 +33,6 @@ def pages(docs: DataFrame, kind: str | None = None) -> DataFrame:
     ).where(F.col("text").isNotNull())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint df in the folder all executors share; a folder of our own only where the session names none."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
-    return df.checkpoint()
-
-
 def hash64(data: bytes) -> int:
     """Signed 64-bit hash."""
     h = xxhash.xxh3_64_intdigest(data)

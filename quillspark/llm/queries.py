@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import cut, pages, table
@@ -18,6 +19,7 @@ from quillspark.llm.repeated_lines import repeated_lines, without_lines
 from quillspark.llm.shared_spans import shared_spans
 from quillspark.llm.splitting import split_texts
 from quillspark.llm.tokenizing import count_tokens, encode_texts
+from quillspark.operators.retrieve import recall, top_k
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +76,15 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return near.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+def p5_recall(spark: SparkSession, d: str) -> DataFrame:
+    """One row (recall, asked): of the ten nearest others of one vector in twenty, by comparison with all, the share that the forest finds."""
+    v = table(spark, d, "chunk_vectors").where("embedding is not null and exists(embedding, x -> x <> 0)").select("id", "embedding").distinct()
+    asked = v.where(F.pmod(F.xxhash64("id"), F.lit(20)) == 0)
+    truth = top_k(asked, v, 11).where("q_id <> chunk_id").withColumn("n", F.row_number().over(W.partitionBy("q_id").orderBy("rank"))).where("n <= 10").select("q_id", "chunk_id")
+    found = nearest_vectors(v, "id", "embedding").select(F.col("id").alias("q_id"), F.col("other").alias("chunk_id"))
+    return recall(found, cut(truth)).crossJoin(asked.agg(F.count(F.lit(1)).alias("asked")))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     web = pages(table(spark, d, "parsed_docs"), "txt")
     return main_lines(web, ["file", "page"], "text").select("file", "page", F.explode("lines").alias("line_no")).distinct()
@@ -130,11 +141,21 @@ def p10_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p6_found, p6_bodies, p7_pieces, p7_found, p8_ids, p9_containers, p9_instructions, p10_found, p10_shares)}
+    return {f.__name__: f for f in (p1_found, p1_clean, p2_found, p2_forms, p3_found, p4_found, p4_groups, p5_found, p5_neighbours, p5_recall, p6_found, p6_bodies, p7_pieces, p7_found, p8_ids, p9_containers, p9_instructions, p10_found, p10_shares)}
+
+
+#: Runs of code points that lie in some 200 in a row which stand in another text too.
+_SHARED = """w AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM documents WHERE length(text) >= 200)),
+    s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)), m AS (SELECT DISTINCT doc_id, i FROM w WHERE h IN (SELECT h FROM s)),
+    g AS (SELECT doc_id, i, sum(b) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 200 THEN 0 ELSE 1 END AS b FROM m)),
+    spans AS (SELECT doc_id, min(i) - 1 AS span_start, max(i) + 199 AS span_end FROM g GROUP BY doc_id, g)"""
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p10_found": f"WITH {_SHARED} SELECT * FROM spans",
+        "p10_shares": f"""WITH {_SHARED} SELECT d.doc_id, d.chars, coalesce(CAST(sum(span_end - span_start) AS BIGINT), 0) AS shared_chars
+            FROM (SELECT DISTINCT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS chars FROM documents) d LEFT JOIN spans s ON s.doc_id = d.doc_id GROUP BY ALL""",
         "p4_found": r"""
             WITH w AS (SELECT id, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM (SELECT DISTINCT id, text FROM chunks WHERE text IS NOT NULL)),
             s AS (SELECT DISTINCT id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT id, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) >= 3)),
