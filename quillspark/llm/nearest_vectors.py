@@ -195,9 +195,22 @@ def _laid_out(forest: list, dim: int, visits: int, near: int, parts: dict[int, i
     return run
 
 
+#: Columns whose maximum is looked at before they are.
+LANE = 32
+
+
 def best(sim: np.ndarray, k: int) -> np.ndarray:
-    """Columns of the k greatest values of every row, in no order."""
-    return np.argpartition(-sim, k - 1, axis=1)[:, :k] if sim.shape[1] > k else np.broadcast_to(np.arange(sim.shape[1]), sim.shape)
+    """Columns of the k greatest values of every row, in no order. In wide rows, these lie in the k lanes of greatest maxima."""
+    n = sim.shape[1]
+    if n <= k:
+        return np.broadcast_to(np.arange(n), sim.shape)
+    if n % LANE or n <= 2 * LANE * k:
+        return np.argpartition(-sim, k - 1, axis=1)[:, :k]
+    lanes = n // LANE
+    most = sim.reshape(len(sim), LANE, lanes).max(axis=1)
+    cols = (np.argpartition(-most, k - 1, axis=1)[:, :k, None] + np.arange(LANE) * lanes).reshape(len(sim), -1)
+    top = np.argpartition(-np.take_along_axis(sim, cols, axis=1), k - 1, axis=1)[:, :k]
+    return np.take_along_axis(cols, top, axis=1)
 
 
 class Group:
@@ -214,7 +227,9 @@ class Group:
         if self.rows:
             lies, looks, cls, x = (np.concatenate(c) for c in zip(*self.rows, strict=True))
             self.rows = []
-            self.of = {v: (cls[lies == v], x[lies == v]) for v in np.unique(lies).tolist()}
+            for v in np.unique(lies).tolist():  # filled up to whole lanes
+                own, block = cls[lies == v], x[lies == v]
+                self.of[v] = np.pad(own, (0, -len(own) % LANE)), np.pad(block, ((0, -len(own) % LANE), (0, 0))), len(own)
             yield from self.answer(looks, cls, x)
 
     def answer(self, looks: np.ndarray, cls: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -222,12 +237,13 @@ class Group:
             some = slice(at, at + 1000)
             c, v, bits = cls[some], x[some], looks[some]
             of, other, cos = [], [], []
-            for leaf, (ids, block) in self.of.items():
+            for leaf, (ids, block, n) in self.of.items():
                 q = np.flatnonzero(bits >> leaf & 1)
                 if not len(q):
                     continue
                 s = v[q] @ block.T
                 s[c[q][:, None] == ids[None, :]] = -9
+                s[:, n:] = -9
                 top = best(s, self.k)
                 of.append(np.repeat(q, top.shape[1]))
                 other.append(ids[top].ravel())

@@ -3,7 +3,7 @@ from __future__ import annotations
 import numpy as np
 
 from quillspark.llm.main_content import Labeller, Reader, Recurrence, blocks, heading, main_lines, recurrence, sample_of, train
-from quillspark.llm.nearest_vectors import Search, fit_forest, leaves, nearest_vectors, popped, visits_for
+from quillspark.llm.nearest_vectors import LANE, Search, best, fit_forest, leaves, nearest_vectors, popped, visits_for
 
 
 def exact(rows, k):
@@ -48,6 +48,14 @@ def test_the_queue():
     assert visits_for(forest, x[:9], [x[k : k + 1] for k in range(9)], 1.0, 1) <= 3 and visits_for(forest, x[:2], [x[:0]] * 2, 0.9, 5) == 5
 
 
+def test_best_of_wide_rows():
+    rng = np.random.default_rng(3)
+    for n in (5, 10, 11, 3 * LANE, 40 * LANE, 40 * LANE + 3):
+        s = rng.normal(size=(50, n)).round(1)
+        got = np.sort(np.take_along_axis(s, best(s, 10), axis=1), axis=1)
+        assert (got == np.sort(s, axis=1)[:, -10:]).all()
+
+
 def test_unusable_copies_and_ties(spark):
     v = [1.0, 0.0]
     rows = [("a", v), ("a", v), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [1.0, None]), ("g", [1.0]), ("h", [float("nan"), 1.0]), (None, [1.0, 1.0]), ("i", [1.0, 2.0, 3.0]), ("j", [])]
