@@ -30,18 +30,18 @@ _FOUND = np.dtype([("other", "<i8"), ("cos", "<f4")])
 class Search:
     """Parameters of the search. ``leaf``: vectors a leaf should have. ``recall``: share of the true neighbours that must be found; leaves
     are popped until it is met by ``asked`` queries taken by their hashes, at least ``visits`` of them. ``sample``: vectors
-    the trees are fitted on, at most, with ``a_node`` of them for every lowest node; past sample / a_node * leaf vectors (26 millions)
+    the trees are fitted on, at most, with ``a_node`` of them for every lowest node; past sample / a_node * leaf vectors (13 millions)
     leaves grow. ``near``: levels of leaves that one task holds, so that a vector is sent there once. ``block``: vectors that a
     task holds at once; of more of them, each part is another task's."""
 
-    trees: int = 6
-    leaf: int = 1600
+    trees: int = 8
+    leaf: int = 800
     recall: float = 0.96
     asked: int = 200
     visits: int = 12
     sample: int = 262_144
     a_node: int = 16
-    near: int = 3
+    near: int = 4
     block: int = 40_000
     seed: int = 7
 
@@ -230,9 +230,13 @@ class Group:
             for v in np.unique(lies).tolist():  # filled up to whole lanes
                 own, block = cls[lies == v], x[lies == v]
                 self.of[v] = np.pad(own, (0, -len(own) % LANE)), np.pad(block, ((0, -len(own) % LANE), (0, 0))), len(own)
-            yield from self.answer(looks, cls, x)
+            place = np.zeros(len(lies), np.int64)
+            for v in self.of:
+                place[lies == v] = np.arange(np.count_nonzero(lies == v))
+            yield from self.answer(looks, cls, x, lies, place)
 
-    def answer(self, looks: np.ndarray, cls: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def answer(self, looks: np.ndarray, cls: np.ndarray, x: np.ndarray, lies: np.ndarray | None = None, place: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+        """``lies``, ``place``: the leaf and place in it of queries that are vectors of the group, which are not their own neighbours."""
         for at in range(0, len(cls), 1000):
             some = slice(at, at + 1000)
             c, v, bits = cls[some], x[some], looks[some]
@@ -242,7 +246,9 @@ class Group:
                 if not len(q):
                     continue
                 s = v[q] @ block.T
-                s[c[q][:, None] == ids[None, :]] = -9
+                if lies is not None:
+                    own = np.flatnonzero(lies[some][q] == leaf)
+                    s[own, place[some][q[own]]] = -9
                 s[:, n:] = -9
                 top = best(s, self.k)
                 of.append(np.repeat(q, top.shape[1]))
