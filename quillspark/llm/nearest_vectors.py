@@ -30,18 +30,18 @@ _FOUND = np.dtype([("other", "<i8"), ("cos", "<f4")])
 class Search:
     """Parameters of the search. ``leaf``: vectors a leaf should have. ``recall``: share of the true neighbours that must be found; leaves
     are popped until it is met by ``asked`` queries taken by their hashes, at least ``visits`` of them. ``sample``: vectors
-    the trees are fitted on, at most, with ``a_node`` of them for every lowest node; past sample / a_node * leaf vectors (13 millions)
+    the trees are fitted on, at most, with ``a_node`` of them for every lowest node; past sample / a_node * leaf vectors (26 millions)
     leaves grow. ``near``: levels of leaves that one task holds, so that a vector is sent there once. ``block``: vectors that a
     task holds at once; of more of them, each part is another task's."""
 
-    trees: int = 8
-    leaf: int = 800
+    trees: int = 6
+    leaf: int = 1600
     recall: float = 0.96
     asked: int = 200
     visits: int = 12
     sample: int = 262_144
     a_node: int = 16
-    near: int = 4
+    near: int = 3
     block: int = 40_000
     seed: int = 7
 
