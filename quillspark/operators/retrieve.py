@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Records that a task holds at once; queries it scores at once.
 RECORDS, QUERIES = 50_000, 500
+#: Rows that the copies of a small index have together, at most.
+COPIES = 400_000
 
 
 def index_records(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -71,14 +73,17 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = 5, key: str = "id", vec
     meets every query once, and only k rows a query and part are ranked. Null vectors take no part.
     """
     k_kind, q_kind = index.schema[key].dataType.simpleString(), queries.schema["id"].dataType.simpleString()
-    held = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(vector).cast("array<double>").alias("v"))
-    asked = queries.where("embedding is not null").select(F.col("id").alias("q_id"), F.col("embedding").cast("array<double>").alias("v")).distinct()
-    parts = max(1, -(-held.count() // records))
+    kinds = {index.schema[vector].dataType.simpleString(), queries.schema["embedding"].dataType.simpleString()}
+    kind = kinds.pop() if len(kinds) == 1 else "array<double>"
+    held = index.where(F.col(vector).isNotNull()).select(F.col(key).alias("chunk_id"), F.col(vector).cast(kind).alias("v"))
+    asked = queries.where("embedding is not null").select(F.col("id").alias("q_id"), F.col("embedding").cast(kind).alias("v")).distinct()
+    n = held.count()
+    parts = max(1, -(-n // records))
     layout = ("part", "role", "q_id", "chunk_id", "v")
     data = held.select(F.pmod(F.xxhash64("chunk_id"), F.lit(parts)).cast("int").alias("part"), F.lit(0).alias("role"), F.lit(None).cast(q_kind).alias("q_id"), "chunk_id", "v")
     meets = asked.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("role"), "q_id", F.lit(None).cast(k_kind).alias("chunk_id"), "v")
-    if parts == 1:  # a few records meet the queries where these lie, in as many tasks as there are
-        tasks = max(1, int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts == 1:  # so few records are copied to several tasks, among which the queries are shared out
+        tasks = max(1, min(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), COPIES // max(1, n)))
         data = data.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
         meets = meets.withColumn("part", F.pmod(F.xxhash64("q_id"), F.lit(tasks)).cast("int"))
         parts = tasks
