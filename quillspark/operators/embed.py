@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -22,6 +22,21 @@ class Encoder(Protocol):
     def encode(self, texts: list[str]) -> np.ndarray: ...
 
 
+_LOADED: dict[str, Encoder] = {}
+
+
+class LazyEncoder:
+    """An encoder that ``make`` makes on its first use in a Python worker, where it stays for all later tasks; only the recipe is sent."""
+
+    def __init__(self, name: str, make: Callable[[], Encoder]):
+        self.name, self.make = name, make
+
+    def encode(self, texts: list[str]) -> np.ndarray:
+        if self.name not in _LOADED:
+            _LOADED[self.name] = self.make()
+        return _LOADED[self.name].encode(texts)
+
+
 class HashingEncoder:
     """Deterministic stand-in for a model: signed hashed words, at length one. The hashes are such that SQL has them too."""
 

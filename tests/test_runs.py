@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.operators import evaluate as E
-from quillspark.operators.embed import HashingEncoder, embed, embed_cached, missing
+from quillspark.operators.embed import HashingEncoder, LazyEncoder, embed, embed_cached, missing
 from quillspark.operators.generate import SYSTEM_PROMPTS, Call, EchoGenerator, OverlapJudge, generate, prompts, replay, route_model
 from quillspark.operators.retrieve import index_records, top_k
 from quillspark.plans.answering import answer_questions, ask, checked_requests, evaluate_with, health, submit
@@ -95,6 +95,15 @@ def test_embedding_cache(spark):
     assert embed_cached(items, stored, enc).count() == 2 == embed_cached(items, stored, enc, force=True).count()
 
 
+def test_an_encoder_is_made_once_a_worker(spark):
+    items = spark.createDataFrame([(str(k), f"word{k}") for k in range(40)], "id string, text string").repartition(8)
+    made = {r.id: list(r.embedding) for r in embed(items, LazyEncoder("hashing-64", HashingEncoder)).collect()}
+    assert made == {r.id: list(r.embedding) for r in embed(items, HashingEncoder()).collect()}
+    calls = []
+    lazy = LazyEncoder("own", lambda: calls.append(1) or HashingEncoder())
+    assert (lazy.encode(["a"]) == lazy.encode(["a"])).all() and len(calls) == 1
+
+
 def test_evaluation(spark):
     groups = [([("f", "1")],)]
     q = spark.createDataFrame([(0, "1", "q", "t", groups), (1, "2", "q", None, []), (2, "3", "q", "t", None)], f"pos int, id string, question string, ground_truth_answer string, ground_truth_sources {S.SOURCES}")
