@@ -5,11 +5,12 @@ that some segment of similar texts differs in at most one symbol, a sketch is in
 wiped out in turn. Texts equal in such a variant are candidates. Candidates are sifted by one bit of each symbol, then
 verified exactly on the sets.
 
-Texts with the same set are one class; classes, not texts, are compared.
+Texts with the same set are one class, told by 128 bits; classes, not texts, are compared.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,7 +31,7 @@ _WORD = re.compile(r"\w+")
 _SEEDS = mix64(np.arange(1, SEGMENTS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sets(n_words: int):
+def _sets(n_words: int, seed: int = 0):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
 
@@ -43,7 +44,7 @@ def _sets(n_words: int):
             return np.array([known.get(w) or hash64(w.encode("utf-8", "surrogatepass")) for w in words], np.int64).view(np.uint64)
 
         for batch in batches:
-            keep, sets, classes = [], [], []
+            keep, sets, classes, checks = [], [], [], []
             for k, t in enumerate(batch.column(1).to_pylist()):
                 words = _WORD.findall(t.lower()) if t else []
                 if len(words) < n_words:
@@ -55,11 +56,12 @@ def _sets(n_words: int):
                 s = np.unique(s)
                 keep.append(k)
                 sets.append(s.view(np.int64))
-                classes.append(hash64(s.tobytes()))
+                classes.append(hash64(seed.to_bytes(8, "little") + s.tobytes()))
+                checks.append(int(mix64(s * np.uint64(7) + np.uint64(seed)).sum(dtype=np.uint64).view(np.int64)))
             offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets], dtype=np.int64)]).astype(np.int32)
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(classes, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "cls", "seqs"]
+                [batch.column(0).take(pa.array(keep, pa.int64())), pa.array(classes, pa.int64()), pa.array(checks, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))], ["id", "cls", "check", "seqs"]
             )
 
     return run
@@ -163,9 +165,12 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
         raise ValueError("signatures are laid out for a similarity of 0.5 or more")
     kind = df.schema[key].dataType.simpleString()
     base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
-    base = cut(base.mapInArrow(_sets(n_words), f"id {kind}, cls long, seqs array<long>"))
-    members = base.select("id", "cls").distinct()
-    classes = cut(base.groupBy("cls").agg(F.first("seqs").alias("seqs")))
+    for seed in itertools.count():  # a second time only if two sets have one name
+        made = cut(base.mapInArrow(_sets(n_words, seed), f"id {kind}, cls long, check long, seqs array<long>"))
+        classes = cut(made.groupBy("cls").agg(F.first("seqs").alias("seqs"), (F.min("check") != F.max("check")).alias("clash")))
+        if classes.where("clash").isEmpty():
+            break
+    members, classes = made.select("id", "cls").distinct(), classes.drop("clash")
 
     signed = classes.mapInArrow(_signed, "sig long, cls long")
     matches = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(together), "a long, b long").distinct())

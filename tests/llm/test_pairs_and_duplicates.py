@@ -3,9 +3,10 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 
-from quillspark.llm.near_duplicates import groups, link_pairs, near_duplicates
+from quillspark.llm.near_duplicates import _sets, groups, link_pairs, near_duplicates
 from quillspark.llm.pair_defects import copies, look, pair_defects, template
 
 
@@ -123,3 +124,11 @@ def test_groups_follow_chains(spark):
     links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
     g = {r.id: (r.group, r.links) for r in groups(members, links, "id").collect()}
     assert {g[k][0] for k in range(10)} == {0} and g[10] == (10, 0) and g[0][1] == 1 and g[5][1] == 2
+
+
+def test_names_of_classes():
+    batch = pa.RecordBatch.from_pydict({"id": [1, 2, 3, 4], "text": ["a b c d", "A b, c d", "b c d a", "a b c d a b c d"]})
+    one, two = (next(_sets(3, seed)(iter([batch]))).to_pydict() for seed in (0, 1))
+    assert one["cls"][0] == one["cls"][1] and len(set(one["cls"])) == 3 == len(set(one["check"])) and one["seqs"] == two["seqs"]
+    # Another seed gives other names, so that sets that share one by chance are told apart.
+    assert not set(one["cls"]) & set(two["cls"]) and not set(one["check"]) & set(two["check"])
