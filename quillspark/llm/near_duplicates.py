@@ -93,9 +93,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
-            bits = (symbols([np.asarray(s.values) for s in part.column(1)])[:, :128] >> np.uint64(7)) & np.uint64(1)
+            bits = (symbols([np.asarray(s.values) for s in part.column(2)])[:, :128] >> np.uint64(7)) & np.uint64(1)
             two = np.packbits(bits.astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], ["cls", "b1", "b2"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy())], [*part.schema.names, "b1", "b2"])
 
 
 def matched(sig: np.ndarray, cls: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -167,10 +167,11 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
     base = df.select(F.col(f"`{key}`").alias("id"), F.col(f"`{text}`").alias("text")).where(F.length("text") > 0)
     for seed in itertools.count():  # a second time only if two sets have one name
         made = cut(base.mapInArrow(_sets(n_words, seed), f"id {kind}, cls long, check long, seqs array<long>"))
-        classes = cut(made.groupBy("cls").agg(F.first("seqs").alias("seqs"), (F.min("check") != F.max("check")).alias("clash")))
+        once = made.groupBy("cls").agg((F.min("check") != F.max("check")).alias("clash"), F.first("seqs").alias("seqs"))
+        classes = cut(once.mapInArrow(_sketched, "cls long, clash boolean, seqs array<long>, b1 long, b2 long"))
         if classes.where("clash").isEmpty():
             break
-    members, classes = made.select("id", "cls").distinct(), classes.drop("clash")
+    members, bits, classes = made.select("id", "cls").distinct(), classes.select("cls", "b1", "b2"), classes.select("cls", "seqs")
 
     signed = classes.mapInArrow(_signed, "sig long, cls long")
     matches = cut(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(together), "a long, b long").distinct())
@@ -189,7 +190,6 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
         blocks = rare.select("cls", F.col("e.sig").alias("seq"), n.alias("n")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
         runs = blocks.select(F.xxhash64("seq", F.least(own, "other"), F.greatest(own, "other")).alias("sig"), "cls")
         certain = runs.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(1 << 40), "a long, b long").distinct()
-    bits = classes.mapInArrow(_sketched, "cls long, b1 long, b2 long")
     one, two = bits.toDF("a", "a1", "a2"), bits.toDF("b", "b1", "b2")
     near = pairs.join(one, "a").join(two, "b").where(
         F.bit_count(F.col("a1").bitwiseXOR(F.col("b1"))) + F.bit_count(F.col("a2").bitwiseXOR(F.col("b2"))) <= BITS_APART
