@@ -2,10 +2,12 @@ from __future__ import annotations
 
 import random
 import re
+from pathlib import Path
 
 import pyarrow as pa
 import pytest
 
+import quillspark.llm.near_duplicates as near_duplicates_module
 from quillspark.llm.near_duplicates import _sets, groups, link_pairs, near_duplicates
 from quillspark.llm.pair_defects import copies, look, pair_defects, template
 
@@ -119,6 +121,22 @@ def test_near_duplicates(spark, together):
     assert near_duplicates(none, "id", "text")[1].count() == 0
 
 
+def test_disk_of_near_duplicates(spark, monkeypatch):
+    """In several passes the same pairs are found, and little lies on disk: less than the texts themselves take."""
+    monkeypatch.setattr(near_duplicates_module, "A_PASS", 100)
+    rng = random.Random(5)
+    rows = [(f"{k:04}", " ".join(rng.choice("bdgklmnprst") + rng.choice("aeiou") + str(rng.randrange(99)) for _ in range(150))) for k in range(1500)]
+    rows += [(f"v{i}", t.replace("a1", "u1")) for i, t in rows[:90]]
+    df = spark.createDataFrame(rows, "id string, text string").repartition(4)
+    folders = [spark.conf.get("spark.checkpoint.dir"), *spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    used = lambda: {p: p.stat().st_size for d in folders for p in Path(d).rglob("*") if p.is_file() and "temp_" not in p.name}
+    before = used()
+    members, links = near_duplicates(df, "id", "text")
+    added = sum(v for p, v in used().items() if p not in before)
+    assert added < sum(len(t) for _, t in rows)
+    assert {(r.id_a, r.id_b) for r in link_pairs(members, links, "id").collect()} == {(i[1:], i) for i, _ in rows[1500:]}
+
+
 def test_groups_follow_chains(spark):
     members = spark.createDataFrame([(k, k) for k in range(12)], "id long, cls long")
     links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
