@@ -4,7 +4,7 @@ The trees are fitted on a bounded sample; every vector is put into one leaf of e
 priority queue, best first: a node's priority is the sum of the squared margins by which the query lies on the other side of
 the cuts above it. It never falls on the way down, so that of every level only as many nodes as leaves are wanted can lead to
 one of them; a batch of queries goes down all trees together, level by level, with those. The vectors of the popped leaves
-are ranked by their exact cosine.
+are ranked by their exact cosine, some groups of leaves at a time.
 
 How many leaves that takes differs with the vectors and their number, so it is measured in each run: some queries are
 compared with all vectors, and it is counted how far down their queues their neighbours are found.
@@ -21,9 +21,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import cut, mix64
+from quillspark.llm.common import cut_clean, mix64, release
 
 _FOUND = np.dtype([("other", "<i8"), ("cos", "<f4")])
+#: Rows that are laid out at once, at least; of more, one a vector.
+A_PASS = 100_000
+
+
+def packed(rows: np.ndarray, heads: np.ndarray) -> pa.BinaryArray:
+    """Binary values that begin at the given rows."""
+    offsets = (np.r_[heads, len(rows)] * rows.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(heads), [None, pa.py_buffer(offsets), pa.py_buffer(rows.tobytes())])
+
+
+def unpacked(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in all of the binary values, and how many are in each."""
+    if not len(values):
+        return np.zeros(0, kind), np.zeros(0, np.int64)
+    wide = pa.types.is_large_binary(values.type)
+    at = np.frombuffer(values.buffers()[1], np.int64 if wide else np.int32)[values.offset : values.offset + len(values) + 1].astype(np.int64)
+    return np.frombuffer(values.buffers()[2] or b"", np.uint8)[at[0] : at[-1]].view(kind), np.diff(at) // np.dtype(kind).itemsize
 
 
 @dataclass(frozen=True)
@@ -172,20 +189,46 @@ def spread(own: np.ndarray, seen: np.ndarray, near: int) -> tuple[np.ndarray, np
     return key[heads] >> 40, (key[heads] & ((1 << 40) - 1)).astype(np.int32), lies.astype(np.int32), looks.astype(np.int32)
 
 
-def _laid_out(forest: list, dim: int, visits: int, near: int, parts: dict[int, int]):
+def route(levels: int) -> np.dtype:
+    """A vector's row for one group of 1 << ``levels`` leaves: of spread, without the vector."""
+    return np.dtype([("group", "<i4"), ("lies", "i1"), ("looks", "u1")] if levels <= 3 else [("group", "<i4"), ("lies", "<i4"), ("looks", "<i4")])
+
+
+def _routed(forest: list, dim: int, visits: int, levels: int):
+    kind = route(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(0, batch.num_rows, 2000):
+                b = batch.slice(k, 2000)
+                x = unpacked(b.column(1), np.float32)[0].reshape(-1, dim)
+                row, group, lies, looks = spread(leaves(forest, x), popped(forest, x, visits), levels)
+                out = np.empty(len(row), kind)
+                out["group"], out["lies"], out["looks"] = group, lies, looks
+                yield pa.RecordBatch.from_arrays([*b.columns, packed(out, np.searchsorted(row, np.arange(len(x))))], ["cls", "vec", "routes"])
+
+    return run
+
+
+def _laid_out(levels: int, parts: dict[int, int], passes: int, now: int):
+    """The rows of those groups whose turn is ``now``."""
+    kind = route(levels)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 b = batch.slice(k, 2000)
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.float32).reshape(-1, dim)
+                at, sizes = unpacked(b.column(2), kind)
+                row = np.repeat(np.arange(len(sizes)), sizes)
+                turn = np.flatnonzero(at["group"] % passes == now)
+                row, group, lies, looks = row[turn], at["group"][turn], at["lies"][turn].astype(np.int32), at["looks"][turn].astype(np.int32)
                 cls = b.column(0).to_numpy()
-                row, group, lies, looks = spread(leaves(forest, x), popped(forest, x, visits), near)
                 n = np.array([parts.get(v, 1) for v in group.tolist()], np.int64) if parts else np.ones(len(group), np.int64)
                 home = (mix64(cls.view(np.uint64))[row] % n.astype(np.uint64)).astype(np.int64)
                 again = np.repeat(np.arange(len(row)), n)
                 part = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
-                lies = np.where(part == home[again], lies[again], -1)
-                keep = (lies >= 0) | (looks[again] > 0)
+                lies = np.where(part == home[again], lies[again], -1).astype(np.int32)
+                keep = (lies >= 0) | (looks[again] != 0)
                 again, part, lies = again[keep], part[keep].astype(np.int32), lies[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(group[again]), pa.array(part), pa.array(lies), pa.array(looks[again]), pa.array(cls[row[again]]), b.column(1).take(pa.array(row[again]))],
@@ -265,7 +308,7 @@ class Group:
             found = np.empty(int(keep.sum()), _FOUND)
             found["other"], found["cos"] = other[keep], cos[keep]
             heads = np.flatnonzero(np.r_[True, of[keep][1:] != of[keep][:-1]]) if len(found) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(c[of[keep][heads]]), pa.array([f.tobytes() for f in np.split(found, heads[1:])] if len(heads) else [], pa.binary())], ["cls", "found"])
+            yield pa.RecordBatch.from_arrays([pa.array(c[of[keep][heads]]), packed(found, heads)], ["cls", "found"])
 
 
 def _ranked(dim: int, k: int):
@@ -273,7 +316,7 @@ def _ranked(dim: int, k: int):
         at, group, closed = None, Group(k), True
         for batch in batches:
             grp, part, lies, looks, cls = (batch.column(c).to_numpy() for c in range(5))
-            x = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.float32).reshape(-1, dim)
+            x = unpacked(batch.column(5), np.float32)[0].reshape(-1, dim)
             query = lies < 0
             cuts = np.flatnonzero((grp[1:] != grp[:-1]) | (part[1:] != part[:-1]) | (query[1:] != query[:-1])) + 1
             for lo, hi in zip([0, *cuts], [*cuts, len(grp)], strict=True):
@@ -296,40 +339,53 @@ def _ranked(dim: int, k: int):
     return run
 
 
-def merged(cls: np.ndarray, found: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.fromiter((len(f) // _FOUND.itemsize for f in found), np.int64, len(found))
-    rows = np.frombuffer(b"".join(found), _FOUND)
-    q = np.repeat(cls, sizes)
-    order = np.lexsort((rows["other"], q))
-    q, rows = q[order], rows[order]
-    keep = (rows["cos"] > -2) & np.concatenate([[True], (q[1:] != q[:-1]) | (rows["other"][1:] != rows["other"][:-1])])[: len(q)]
-    q, rows = q[keep], rows[keep]
-    order = np.lexsort((rows["other"], -rows["cos"], q))
-    q, rows = q[order], rows[order]
-    first = np.concatenate([[True], q[1:] != q[:-1]])[: len(q)]
-    rank = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else np.zeros(0, np.int64)
-    return q[rank < k], rows["other"][rank < k], rows["cos"][rank < k]
+def merged(q: np.ndarray, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best different rows of every query; ``q``: sorted. Equal cosines go by the last bits of the other's name."""
+    q, rows = q[rows["cos"] > -2], rows[rows["cos"] > -2]
+    name = np.cumsum(np.r_[False, q[1:] != q[:-1]][: len(q)]).astype(np.uint64)
+    key = name << np.uint64(44) | rows["other"].view(np.uint64) & np.uint64((1 << 44) - 1)
+    order = np.argsort(key)
+    again = np.r_[False, key[order][1:] == key[order][:-1]][: len(q)]
+    if (again & np.r_[False, rows["other"][order][1:] != rows["other"][order][:-1]][: len(q)]).any():  # two names that end alike
+        order = np.lexsort((rows["other"], name))
+        again = np.r_[False, (name[order][1:] == name[order][:-1]) & (rows["other"][order][1:] == rows["other"][order][:-1])][: len(q)]
+    order = order[~again]
+    bits = (np.float32(0) - rows["cos"][order]).view(np.uint32)
+    far = np.where(bits >> np.uint32(31), ~bits, bits | np.uint32(1 << 31)).astype(np.uint64)  # in the order of the floats
+    order = order[np.argsort(name[order] << np.uint64(32) | far, kind="stable")]
+    name = name[order]
+    heads = np.flatnonzero(np.r_[True, name[1:] != name[:-1]][: len(name)])
+    rank = np.arange(len(name)) - np.repeat(heads, np.diff(np.r_[heads, len(name)]))
+    return q[order][rank < k], rows[order][rank < k]
 
 
 def _merged(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cls, found = np.zeros(0, np.int64), []
+        q, rows = np.zeros(0, np.int64), np.zeros(0, _FOUND)
 
         def out(n: int) -> pa.RecordBatch:
-            q, other, cos = merged(cls[:n], found[:n], k)
-            return pa.RecordBatch.from_arrays([pa.array(q), pa.array(other.copy()), pa.array(cos.copy())], ["cls", "other", "cos"])
+            best_q, best_rows = merged(q[:n], rows[:n], k)
+            heads = np.flatnonzero(np.r_[True, best_q[1:] != best_q[:-1]][: len(best_q)])
+            return pa.RecordBatch.from_arrays([pa.array(best_q[heads]), packed(best_rows, heads)], ["cls", "found"])
 
         for batch in batches:
-            cls, found = np.concatenate([cls, batch.column(0).to_numpy()]), found + batch.column(1).to_pylist()
-            whole = int(np.searchsorted(cls, cls[-1])) if len(cls) else 0
-            if whole > 20_000:
+            more, sizes = unpacked(batch.column(1), _FOUND)
+            q, rows = np.concatenate([q, np.repeat(batch.column(0).to_numpy(), sizes)]), np.concatenate([rows, more])
+            whole = int(np.searchsorted(q, q[-1])) if len(q) else 0
+            if whole > 200_000:
                 yield out(whole)
-                cls, found = cls[whole:], found[whole:]
-        yield out(len(cls))
+                q, rows = q[whole:], rows[whole:]
+        yield out(len(q))
 
     return run
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows, sizes = unpacked(batch.column(1), _FOUND)
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(rows["other"].copy()), pa.array(rows["cos"].copy())], ["cls", "other", "cos"])
+
+
 def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: Search | None = None) -> DataFrame:
     """(key, rank, other, cosine): the k most similar other rows of every row, rank from 1; equal cosines in the order of keys.
 
@@ -347,8 +403,8 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     if not dim:
         return df.select(F.col(f"`{key}`").alias("id"), F.lit(0).alias("rank"), F.col(f"`{key}`").alias("other"), F.lit(0.0).alias("cosine")).where("false").toDF(*out_names)
     units = given.where(F.size("v") == dim).mapInArrow(_unit(dim), f"id {kind}, cls long, vec binary")
-    members = units.select("id", "cls").distinct()
-    vectors = cut(units.groupBy("cls").agg(F.first("vec").alias("vec")))
+    members = cut_clean(units.select("id", "cls").distinct())
+    vectors = cut_clean(units.groupBy("cls").agg(F.first("vec").alias("vec")))
     n = vectors.count()
     depth = max(0, min(int(np.ceil(np.log2(max(n, 1) / search.leaf))), int(np.log2(max(1, search.sample / search.a_node)))))
     span = 1 << 40
@@ -361,7 +417,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
 
     fitted = np.frombuffer(b"".join(r.vec for r in taken(min(search.sample, max(20_000, search.a_node << depth)), search.seed)), np.float32).reshape(-1, dim)
     forest = fit_forest(fitted, depth, search.trees if depth else 1, search.seed)
-    visits = 1
+    visits, levels, rows = 1, min(search.near, depth), 1.0
     if depth:
         asked = taken(search.asked, search.seed + 1)
         x, names = np.frombuffer(b"".join(r.vec for r in asked), np.float32).reshape(-1, dim), np.array([r.cls for r in asked], np.int64)
@@ -369,14 +425,25 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
         exact = exact.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cos"), "vec"))).where(F.col("r") <= k).select("q", "vec").collect()  # k for each asked
         near = [np.frombuffer(b"".join(r.vec for r in exact if r.q == q), np.float32).reshape(-1, dim) for q in range(len(names))]
         visits = visits_for(forest, x, near, search.recall, search.visits)
-    levels = min(search.near, depth)
+        rows = len(spread(leaves(forest, x), popped(forest, x, visits), levels)[0]) / len(x)
     parts: dict[int, int] = {}
     if n * 2 > search.block << (depth - levels):  # only then a group may exceed a block; one row a group, of which there are few
         counted = vectors.mapInArrow(_groups_only(forest, dim, levels), "grp int").groupBy("grp").count().where(F.col("count") > search.block).collect()
         parts = {r["grp"]: -(-r["count"] // search.block) for r in counted}
-    laid = vectors.select("cls", "vec").mapInArrow(_laid_out(forest, dim, visits, levels, parts), "grp int, part int, lies int, looks int, cls long, vec binary")
-    scored = laid.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lies") < 0).mapInArrow(_ranked(dim, k), "cls long, found binary")
-    top = scored.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged(k), "cls long, other long, cos float")
+    routed = cut_clean(vectors.select("cls", "vec").mapInArrow(_routed(forest, dim, visits, levels), "cls long, vec binary, routes binary"))
+    release(vectors)
+    # About one row a vector is laid out at once, and the best so far are kept.
+    passes, best_yet = min(int(np.ceil(rows)), 1 + int(n * rows) // A_PASS), None
+    for now in range(passes):
+        laid = routed.mapInArrow(_laid_out(levels, parts, passes, now), "grp int, part int, lies int, looks int, cls long, vec binary")
+        scored = laid.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lies") < 0).mapInArrow(_ranked(dim, k), "cls long, found binary")
+        both = scored if best_yet is None else scored.unionByName(best_yet)
+        better = cut_clean(both.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged(k), "cls long, found binary"))
+        if best_yet is not None:
+            release(best_yet)
+        best_yet = better
+    release(routed)
+    top = best_yet.mapInArrow(_each, "cls long, other long, cos float")
 
     firsts = members.withColumn("n", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("cls").alias("other"), F.col("id").alias("oid"))
     own = members.select("cls", F.col("cls").alias("other"), F.lit(1.0).cast("float").alias("cos")).distinct()

@@ -1,7 +1,10 @@
 from __future__ import annotations
 
+from pathlib import Path
+
 import numpy as np
 
+import quillspark.llm.nearest_vectors as nearest_module
 from quillspark.llm.main_content import Labeller, Reader, Recurrence, blocks, heading, main_lines, recurrence, sample_of, train
 from quillspark.llm.nearest_vectors import LANE, Search, best, fit_forest, leaves, nearest_vectors, popped, visits_for
 
@@ -56,6 +59,41 @@ def test_best_of_wide_rows():
         assert (got == np.sort(s, axis=1)[:, -10:]).all()
 
 
+def test_merged():
+    rng = np.random.default_rng(5)
+    for names in (rng.integers(-(1 << 62), 1 << 62, 5000), rng.integers(-9, 9, 5000), rng.integers(-9, 9, 5000) + (rng.integers(0, 2, 5000) << 50)):
+        q, rows = np.sort(rng.integers(-50, 50, 5000)), np.zeros(5000, nearest_module._FOUND)
+        rows["other"], rows["cos"] = names, names * 37 % 1009 / 1009 - 0.5
+        rows["cos"][::17] = -9
+        of, got = nearest_module.merged(q, rows, 10)
+        for v in np.unique(q):
+            every = {(float(r["cos"]), int(r["other"])) for r in rows[q == v] if r["cos"] > -2}
+            mine = [(float(r["cos"]), int(r["other"])) for r in got[of == v]]
+            assert len(set(mine)) == len(mine) and set(mine) <= every and [c for c, _ in mine] == sorted((c for c, _ in every), reverse=True)[:10]
+
+
+def test_disk_of_nearest_vectors(spark, monkeypatch):
+    """In several passes the same neighbours are found, and little lies on disk at once: less than four times the vectors."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(4000, 64))
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    folders = [spark.conf.get("spark.checkpoint.dir"), *spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    used = lambda: {p: p.stat().st_size for d in folders for p in Path(d).rglob("*") if p.is_file() and "temp_" not in p.name}
+    found, most = [], []
+    for rows_at_once in (1 << 40, 1000):
+        monkeypatch.setattr(nearest_module, "A_PASS", rows_at_once, raising=False)
+        before, peak = used(), []
+        repartition = type(df).repartition
+        monkeypatch.setattr(type(df), "repartition", lambda self, *a: (peak.append(sum(v for p, v in used().items() if p not in before)), repartition(self, *a))[1])  # noqa: B023
+        got = nearest_vectors(df, "id", "embedding", 10, Search(leaf=100)).collect()
+        monkeypatch.setattr(type(df), "repartition", repartition)
+        peak.append(sum(v for p, v in used().items() if p not in before))
+        most.append(max(peak))
+        found.append({(r.id, r.other) for r in got})
+    assert found[0] == found[1] and len(found[0]) == 40_000
+    assert most[1] < 4 * 4000 * 64 * 4
+
+
 def test_unusable_copies_and_ties(spark):
     v = [1.0, 0.0]
     rows = [("a", v), ("a", v), ("b", [2.0, 0.0]), ("c", [0.0, 1.0]), ("d", [0.0, 0.0]), ("e", None), ("f", [1.0, None]), ("g", [1.0]), ("h", [float("nan"), 1.0]), (None, [1.0, 1.0]), ("i", [1.0, 2.0, 3.0]), ("j", [])]
