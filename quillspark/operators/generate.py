@@ -9,11 +9,14 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # How sources stand in a prompt.
 SOURCE_GAP = "\n\n---\n\n"
+#: Prompts made at once; questions of one best hit that are asked in one task.
+PROMPTS, OFTEN = 500, 2000
 
 #: Instructions by version, in our own words; which one serves best is for experiments to say.
 SYSTEM_PROMPTS = {
@@ -91,10 +94,10 @@ def judge_prompts(questions: DataFrame, answers: DataFrame) -> DataFrame:
     )
 
 
-def generate(prompts: DataFrame, generator: Generator, call: Call | None = None) -> DataFrame:
-    """(id, reply, prompt_tokens, completion_tokens, latency_ms, error), several prompts of a task at once. A reply that takes too long is an
-    error too. Write it before it's used twice, or the model is asked twice."""
-    call = call or Call()
+_REPLIES = "id string, reply string, prompt_tokens int, completion_tokens int, latency_ms double, error string"
+
+
+def _asking(generator: Generator, call: Call):
 
     def one(i: str, prompt: str) -> tuple:
         began = time.perf_counter()
@@ -119,7 +122,58 @@ def generate(prompts: DataFrame, generator: Generator, call: Call | None = None)
                 frame = pd.DataFrame(rows, columns=["id", "reply", "prompt_tokens", "completion_tokens", "latency_ms", "error"])
                 yield frame.astype({"prompt_tokens": "Int32", "completion_tokens": "Int32"})
 
-    return prompts.select("id", "prompt").mapInPandas(run, "id string, reply string, prompt_tokens int, completion_tokens int, latency_ms double, error string")
+    return run
+
+
+def generate(prompts: DataFrame, generator: Generator, call: Call | None = None) -> DataFrame:
+    """(id, reply, prompt_tokens, completion_tokens, latency_ms, error), several prompts of a task at once. A reply that takes too long is an
+    error too. Write it before it's used twice, or the model is asked twice."""
+    return prompts.select("id", "prompt").mapInPandas(_asking(generator, call or Call()), _REPLIES)
+
+
+def _assembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+    """Prompts of sorted rows (grp, role, chunk_id, file, page, text, id, question, hits), a group's records first."""
+    group, held = None, {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, PROMPTS):
+            ids, made = [], []
+            for grp, role, chunk, file, page, text, i, question, hits in zip(*(c.to_pylist() for c in batch.slice(at, PROMPTS).columns), strict=True):
+                if grp != group:
+                    group, held = grp, {}
+                if not role:
+                    held.setdefault(chunk, []).append(f"] file: {'null' if file is None else file} | page: {'null' if page is None else page}\n{'null' if text is None else text}")
+                    continue
+                sources = [f"[{rank}{s}" for rank, h in enumerate(hits or [], 1) for s in sorted(held.get(h, ()))]
+                ids.append(i)
+                made.append(None if question is None else SOURCE_GAP.join(sources) + "\n\n" * bool(sources) + "Question: " + question)
+            if ids:
+                yield pd.DataFrame({"id": ids, "prompt": made}, dtype=object)
+
+
+def generate_from(questions: DataFrame, top: DataFrame, index: DataFrame, generator: Generator, call: Call | None = None) -> DataFrame:
+    """What generate gives for the prompts of questions (id, question) and their hits ``top`` (q_id, rank from 1, chunk_id), of records of ``index``
+    (id, file, page, text). Questions of one best hit are asked in one task, to which a record's text is sent once, not once a hit; those
+    of a best hit that very many have are shared out."""
+    n = int(top.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    of = top.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id"))).alias("x")).select(F.col("q_id").alias("id"), F.col("x.chunk_id").alias("hits"))
+    often = top.where("rank = 1").groupBy("chunk_id").count().where(F.col("count") > OFTEN).select(F.col("chunk_id").alias("first"), F.ceil(F.col("count") / OFTEN).alias("n"))
+    asked = questions.select("id", "question").join(of, "id", "left").withColumn("first", F.get("hits", F.lit(0))).join(often, "first", "left")
+    key = F.xxhash64("first", F.when(F.col("first").isNull() | F.col("n").isNotNull(), F.pmod(F.xxhash64("id"), F.coalesce("n", F.lit(n)))))
+    asked = asked.select(F.pmod(key, F.lit(n)).cast("int").alias("grp"), "id", "question", "hits")
+    wanted = asked.select("grp", F.explode("hits").alias("chunk_id")).distinct()
+    records = index.select(F.col("id").alias("chunk_id"), "file", F.col("page").cast("string").alias("page"), "text").join(wanted, "chunk_id")
+    kind = top.schema["chunk_id"].dataType.simpleString()
+    layout = ("grp", "role", "chunk_id", "file", "page", "text", "id", "question", "hits")
+    own = records.select("grp", F.lit(0).alias("role"), "chunk_id", "file", "page", "text", F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("question"), F.lit(None).cast(f"array<{kind}>").alias("hits"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("chunk_id", kind), ("file", "string"), ("page", "string"), ("text", "string"))]
+    laid = own.select(*layout).unionByName(asked.select("grp", F.lit(1).alias("role"), *none, "id", "question", "hits").select(*layout))
+    ask, schema = _asking(generator, call or Call()), pa.schema([("id", pa.string()), ("reply", pa.string()), ("prompt_tokens", pa.int32()), ("completion_tokens", pa.int32()), ("latency_ms", pa.float64()), ("error", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in ask(_assembled(batches)):
+            yield pa.RecordBatch.from_pandas(frame, schema, preserve_index=False)
+
+    return laid.repartitionById(n, "grp").sortWithinPartitions("grp", "role").mapInArrow(run, _REPLIES)
 
 
 def judge(questions: DataFrame, answers: DataFrame, judge: Generator | DataFrame, call: Call = JUDGE) -> DataFrame:

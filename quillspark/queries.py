@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as X
-from quillspark.functions.lineage import new_folder
+from quillspark.functions.lineage import new_folder, written
 from quillspark.operators.chunking import chunk, length_summary, parts, split_oversized
 from quillspark.operators.embed import HashingEncoder, embed, embed_cached, missing
 from quillspark.operators.evaluate import citation_scores, evaluate, last_wins, latest, pending, report, report_lines, run_diff, summarize
@@ -349,9 +349,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
 def rag_answers(spark: SparkSession, d: str) -> DataFrame:
     """A whole run over all questions, with the offline encoder and generator, against an index that is written first."""
     chunks = t(spark, d, "chunks").where("text is not null").distinct()
-    path = new_folder(spark, "index")
-    index_records(chunks, embed(chunks.select("id", "text"), HashingEncoder())).write.parquet(path)
-    made = answer_questions(_asked(spark, d), spark.read.parquet(path), HashingEncoder(), EchoGenerator())
+    index = written(index_records(chunks, embed(chunks.select("id", "text"), HashingEncoder())), "index")
+    made = answer_questions(_asked(spark, d), index, HashingEncoder(), EchoGenerator())
     cited = F.array_join(F.transform("citations", lambda c: F.concat_ws("#", c["file"], c["page"].cast("string"))), ",")
     found = F.array_join(F.transform("retrieved", lambda c: F.concat_ws("#", c["file"], c["page"].cast("string"))), ",")
     return made.select("id", F.md5(F.col("answer").cast("binary")).alias("answer"), cited.alias("citations"), found.alias("retrieved"))

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import evaluate as E
 from quillspark.operators.embed import HashingEncoder, LazyEncoder, embed, embed_cached, missing
-from quillspark.operators.generate import SYSTEM_PROMPTS, Call, EchoGenerator, OverlapJudge, generate, prompts, replay, route_model
-from quillspark.operators.retrieve import index_records, top_k
+from quillspark.operators.generate import SYSTEM_PROMPTS, Call, EchoGenerator, OverlapJudge, generate, generate_from, prompts, replay, route_model
+from quillspark.operators.retrieve import index_records, top_k, with_records
 from quillspark.plans.answering import answer_questions, ask, checked_requests, evaluate_with, health, submit
 from quillspark.sources import tables as S
 
@@ -47,6 +47,40 @@ def test_top_k_small(spark):
     assert top_k(index, index.where("false"), 5).count() == 0
 
 
+def test_top_k_repeated_records(spark):
+    """Rows that repeat a record take no places of others, and equal vectors go by id."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8))
+    x[40:60] = x[7] * 2
+    rows = [(f"r{k:03}", v.tolist()) for k, v in enumerate(x)]
+    index = spark.createDataFrame(rows + rows[7:8] * 9 + rows[50:51] * 9 + [("bad", [float("nan")] * 8)], "id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(k % 4, x[[7, 100, 7, 150][k % 4]].tolist()) for k in range(8)], "id long, embedding array<double>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for records in (50, 100_000):
+        got = {(r.q_id, r["rank"]): r.chunk_id for r in top_k(q, index, 5, records=records).collect()}
+        for n, k in enumerate((7, 100, 7, 150)):
+            s = (u @ u[k]).round(9)
+            assert [got.get((n, r + 1)) for r in range(5)] == [f"r{i:03}" for i in sorted(range(200), key=lambda i: (-s[i], i))[:5]]
+
+
+def test_prompts_of_sources_sent_once(spark, corpus, monkeypatch):
+    """A model is asked the same, however the sources reach it."""
+
+    class PromptGenerator:
+        def reply(self, id, prompt, call):
+            return prompt + "", 1, 1
+
+    monkeypatch.setattr("quillspark.operators.generate.OFTEN", 2)
+    asked = [(f"{k:03}", t) for k, t in enumerate(["apple pie", "whale", "tax law", "apple", None, "song"] * 3)]
+    q = spark.createDataFrame([*asked, ("none", "apple")], "id string, question string")
+    twice = corpus.unionByName(corpus.limit(2).withColumn("page", F.lit(None).cast("int")))
+    top = top_k(embed(spark.createDataFrame(asked, "id string, text string"), HashingEncoder(), "query"), twice, 3)
+    columns = ("id", "reply", "prompt_tokens", "completion_tokens", "error")
+    want = generate(prompts(q, with_records(top, twice)), PromptGenerator()).select(*columns).collect()
+    got = generate_from(q, top, twice, PromptGenerator()).select(*columns).collect()
+    assert len(got) == 19 and sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_whole_run(spark, corpus):
     q = spark.createDataFrame([("001", "apple pie"), ("002", "whale")], "id string, question string")
     rows = {r.id: r for r in answer_questions(q, corpus, HashingEncoder(), EchoGenerator(), k=2).collect()}
