@@ -3,7 +3,7 @@
 A text's sketch is a row of MinHash symbols; two texts differ in a symbol as often as their sets differ. Cut into segments, few enough
 that some segment of similar texts differs in at most one symbol, a sketch is indexed under every segment with each of its symbols
 wiped out in turn, some segments at a time. Texts equal in such a variant are candidates. Candidates are sifted where they meet, by
-one bit of each symbol, and by eight bits of each, then verified exactly on the sets. Sketches are kept, with 16 bits a symbol; sets are made again for candidates.
+one and by two bits of each symbol, and by eight bits of each, then verified exactly on the sets. Sketches are kept, with 16 bits a symbol; sets are made again for candidates.
 
 Texts with the same set are one class, told by 128 bits; classes, not texts, are compared.
 """
@@ -25,12 +25,16 @@ from quillspark.llm.common import cut, cut_clean, hash64, mix64, release
 SEGMENTS, SYMBOLS = 32, 5
 #: Of 128 bits, as many may differ: at a similarity of 0.5, 32 do on average, with a deviation of 4.9.
 BITS_APART = 50
+#: Of all symbols, as many must be equal in two bits: at a similarity of 0.5, 100 are on average, with a deviation of 6.1. Texts of one making
+#: that are not similar meet as often as their number squared, so what they would take of the disk must be little.
+TWINS = 72
 #: Of all symbols, as many must be equal: at a similarity of 0.5, 80 are on average, with a deviation of 6.3, and fewer than 52 once in 300,000.
 EQUAL = 52
-#: Members of one variant that are matched at once; those of larger ones are matched by their rarest sequences.
-TOGETHER = 512
+#: Members of one variant that are matched at once; those of larger ones are matched by their rarest sequences, which texts of one making share
+#: with very many others.
+TOGETHER = 1 << 15
 #: Parts in which the segments are laid out, one after the other, at most, and as many classes as one more part is for.
-PASSES, A_PASS = 8, 4000
+PASSES, A_PASS = 16, 4000
 
 _WORD = re.compile(r"\w+")
 _SEEDS = mix64(np.arange(1, SEGMENTS * SYMBOLS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -128,8 +132,23 @@ def variants(rows: np.ndarray, low: int = 0, high: int = SEGMENTS) -> np.ndarray
 
 
 def sift_bits(rows: np.ndarray) -> np.ndarray:
-    """One bit of each of the first 128 symbols, as two numbers a row."""
-    return np.packbits((rows[:, :128] >> np.uint16(7) & np.uint16(1)).astype(np.uint8), axis=1).view(np.int64)
+    """Two bits of each symbol, as five numbers a row: those of the first 128 symbols, two numbers for the one bit and two for the other,
+    then those of the last 32, half a number each."""
+    one, two = (np.packbits((rows >> np.uint16(k) & np.uint16(1)).astype(np.uint8), axis=1) for k in (7, 6))
+    return np.ascontiguousarray(np.concatenate([one[:, :16], two[:, :16], one[:, 16:], two[:, 16:]], axis=1)).view(np.int64)
+
+
+def alike_bits(bits: np.ndarray, at: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows at the given places are alike in the bits of sift_bits."""
+    apart = bits[at, :2] ^ bits[other, :2]
+    some = np.flatnonzero(np.bitwise_count(apart).sum(axis=1) <= BITS_APART)
+    last = bits[at[some], 4] ^ bits[other[some], 4]
+    first = np.bitwise_count(apart[some] | (bits[at[some], 2:4] ^ bits[other[some], 2:4])).sum(axis=1)
+    unlike = first + np.bitwise_count((last | last >> np.uint64(32)) & np.uint64(0xFFFFFFFF))
+    return some[unlike <= SEGMENTS * SYMBOLS - TWINS]
+
+
+BITS = ("b1", "b2", "b3", "b4", "b5")
 
 
 def _signed(low: int, high: int):
@@ -139,20 +158,20 @@ def _signed(low: int, high: int):
                 part = batch.slice(k, 2000)
                 rows = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SEGMENTS * SYMBOLS)
                 v, bits = variants(rows, low, high), sift_bits(rows)
-                beside = (part.column(0).to_numpy(), bits[:, 0], bits[:, 1])
-                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), *(pa.array(np.repeat(x, v.shape[1])) for x in beside)], ["sig", "cls", "b1", "b2"])
+                beside = (part.column(0).to_numpy(), *bits.T)
+                yield pa.RecordBatch.from_arrays([pa.array(v.ravel()), *(pa.array(np.repeat(x, v.shape[1])) for x in beside)], ["sig", "cls", *BITS])
 
     return run
 
 
 def matched(sig: np.ndarray, cls: np.ndarray, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of neighbours in a sorted run of signatures, the smaller class first, each once of some at a time; with ``bits``, only
-    pairs few of whose bits differ."""
+    pairs alike in them."""
     at, step, left, right, n = np.arange(len(sig)), 1, [], [], 0
     while len(at):
         at = at[at + step < len(sig)]
         at = at[sig[at + step] == sig[at]]
-        near = at if bits is None else at[np.bitwise_count(bits[at] ^ bits[at + step]).sum(axis=1) <= BITS_APART]
+        near = at if bits is None else at[alike_bits(bits, at, at + step)]
         left.append(np.minimum(cls[near], cls[near + step]))
         right.append(np.maximum(cls[near], cls[near + step]))
         n += len(near)
@@ -271,7 +290,7 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
     ends = [SEGMENTS * k // passes for k in range(passes + 1)]
     found = []
     for low, high in itertools.pairwise(ends):
-        signed = classes.select("cls", "sketch").mapInArrow(_signed(low, high), "sig long, cls long, b1 long, b2 long")
+        signed = classes.select("cls", "sketch").mapInArrow(_signed(low, high), ", ".join(f"{c} long" for c in ("sig", "cls", *BITS)))
         found.append(cut_clean(signed.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(together), "a long, b long").distinct()))
     matches = cut_clean(functools.reduce(DataFrame.unionByName, found).distinct())
     for part in found:
@@ -307,11 +326,18 @@ def near_duplicates(df: DataFrame, key: str, text: str, n_words: int = 3, simila
 
 
 def link_pairs(members: DataFrame, links: DataFrame, key: str) -> DataFrame:
-    """(id_a, id_b): all pairs of keys of linked classes and of one class, the smaller first. Only where pairs are asked for."""
-    m1, m2 = members.select(F.col("cls").alias("a"), F.col(key).alias("k1")), members.select(F.col("cls").alias("b"), F.col(key).alias("k2"))
-    between = links.select("a", "b").join(m1, "a").join(m2, "b").select(F.least("k1", "k2").alias("id_a"), F.greatest("k1", "k2").alias("id_b"))
-    copies = m1.join(m2, F.col("a") == F.col("b")).where("k1 < k2").select(F.col("k1").alias("id_a"), F.col("k2").alias("id_b"))
-    return between.where("id_a <> id_b").unionByName(copies).distinct()
+    """(id_a, id_b): all pairs of keys of linked classes and of one class, the smaller first. Only where pairs are asked for.
+
+    A pair comes more than once only if one of its keys has several texts; only such pairs are gathered to be told apart."""
+    named = members.where(F.col(key).isNotNull()).select(F.col("cls"), F.col(key).alias("k"))
+    several = named.groupBy("k").agg((F.min("cls") != F.max("cls")).alias("s"))
+    named = cut_clean(named.join(several, "k"))
+    m1, m2 = named.toDF("k1", "a", "s1"), named.toDF("k2", "b", "s2")
+    s = (F.col("s1") | F.col("s2")).alias("s")
+    between = links.select("a", "b").join(m1, "a").join(m2, "b").where("k1 <> k2").select(F.least("k1", "k2").alias("id_a"), F.greatest("k1", "k2").alias("id_b"), s)
+    copies = m1.join(m2, F.col("a") == F.col("b")).where("k1 < k2").select(F.col("k1").alias("id_a"), F.col("k2").alias("id_b"), s)
+    pairs = between.unionByName(copies)
+    return pairs.where("not s").drop("s").unionByName(pairs.where("s").drop("s").distinct())
 
 
 def groups(members: DataFrame, links: DataFrame, key: str, rounds: int = 40) -> DataFrame:

@@ -4,8 +4,10 @@ import random
 import re
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import quillspark.llm.near_duplicates as near_duplicates_module
 from quillspark.llm.near_duplicates import _sets, groups, link_pairs, near_duplicates
@@ -137,6 +139,35 @@ def test_disk_of_near_duplicates(spark, monkeypatch):
     assert {(r.id_a, r.id_b) for r in link_pairs(members, links, "id").collect()} == {(i[1:], i) for i, _ in rows[1500:]}
 
 
+def test_sift_where_candidates_meet():
+    """Of texts that share a fifth of their sequences few pass, so that they take no disk; of those that share half, all but very few."""
+    rng = np.random.default_rng(8)
+
+    def passed(shared, own):
+        sets = [rng.integers(-(1 << 62), 1 << 62, shared + 2 * own) for _ in range(400)]
+        both = [s for x in sets for s in (x[: shared + own], np.r_[x[:shared], x[shared + own :]])]
+        bits = near_duplicates_module.sift_bits(near_duplicates_module.symbols(both).astype(np.uint16)).view(np.uint64)
+        pairs = [p for a, b in near_duplicates_module.matched(np.repeat(np.arange(400), 2), np.arange(800), bits) for p in zip(a, b, strict=True)]
+        assert all(b == a + 1 and a % 2 == 0 for a, b in pairs)
+        return len(pairs)
+
+    assert passed(20, 40) < 100  # 0.2
+    assert passed(100, 50) >= 396  # 0.5
+
+
+def test_disk_of_pairs_of_copies(spark):
+    """A text's many copies make many pairs, which needn't lie on disk; a key with several texts still has each pair once."""
+    rows = [(f"{k:06}", f"one two three four {k // 600}") for k in range(1200)] + [("several", "one two three four 0"), ("several", "one two three four 1")]
+    members, links = near_duplicates(spark.createDataFrame(rows, "id string, text string"), "id", "text")
+    folders = [spark.conf.get("spark.checkpoint.dir"), *spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()]
+    used = lambda: {p: p.stat().st_size for d in folders for p in Path(d).rglob("*") if p.is_file() and "temp_" not in p.name}
+    pairs = link_pairs(members, links, "id")
+    assert pairs.count() == pairs.distinct().count() == 1201 * 1200 // 2
+    before = used()
+    assert link_pairs(members, links, "id").agg(F.max("id_a")).collect()
+    assert sum(v for p, v in used().items() if p not in before) < 500_000
+
+
 def test_groups_follow_chains(spark):
     members = spark.createDataFrame([(k, k) for k in range(12)], "id long, cls long")
     links = spark.createDataFrame([(k, k + 1) for k in range(9)], "a long, b long")
