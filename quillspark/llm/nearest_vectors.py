@@ -7,7 +7,8 @@ one of them; a batch of queries goes down all trees together, level by level, wi
 are ranked by their exact cosine, some groups of leaves at a time.
 
 How many leaves that takes differs with the vectors and their number, so it is measured in each run: some queries are
-compared with all vectors, and it is counted how far down their queues their neighbours are found.
+compared with all vectors, and it is counted how far down their queues their neighbours are found. Where only vectors of a
+least cosine are asked for, these lie far up the queue, and vectors at just that cosine are made up to measure with.
 """
 
 from __future__ import annotations
@@ -46,7 +47,8 @@ def unpacked(values: pa.Array, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
 @dataclass(frozen=True)
 class Search:
     """Parameters of the search. ``leaf``: vectors a leaf should have. ``recall``: share of the true neighbours that must be found; leaves
-    are popped until it is met by ``asked`` queries taken by their hashes, at least ``visits`` of them. ``sample``: vectors
+    are popped until it is met by ``asked`` queries taken by their hashes, at least ``visits`` of them. ``recall_near``: the same share of those
+    at a least cosine, ``made`` of which are made up for each query. ``sample``: vectors
     the trees are fitted on, at most, with ``a_node`` of them for every lowest node; past sample / a_node * leaf vectors (26 millions)
     leaves grow. ``near``: levels of leaves that one task holds, so that a vector is sent there once. ``block``: vectors that a
     task holds at once; of more of them, each part is another task's."""
@@ -54,6 +56,8 @@ class Search:
     trees: int = 6
     leaf: int = 1600
     recall: float = 0.96
+    recall_near: float = 0.995
+    made: int = 20
     asked: int = 200
     visits: int = 12
     sample: int = 262_144
@@ -135,6 +139,16 @@ def visits_for(forest: list, x: np.ndarray, near: list[np.ndarray], recall: floa
     return max(min(n, least), int(met[max(0, int(np.ceil(recall * len(met))) - 1)]) + 1)
 
 
+def made_up(x: np.ndarray, cosine: float, n: int, seed: int) -> np.ndarray:
+    """For each vector n others of that cosine, which lie from it in the directions in which the vectors differ."""
+    rng = np.random.default_rng(seed)
+    one, two = rng.integers(0, len(x), (2, len(x), n))
+    way = np.where((one == two)[:, :, None], rng.standard_normal((len(x), n, x.shape[1])), x[one].astype(np.float64) - x[two])
+    way = way - np.einsum("qnd,qd->qn", way, x)[:, :, None] * x[:, None, :]
+    way /= np.maximum(np.linalg.norm(way, axis=2, keepdims=True), 1e-9)
+    return (cosine * x[:, None, :] + np.sqrt(max(0.0, 1 - cosine * cosine)) * way).astype(np.float32)
+
+
 def _exact(x: np.ndarray, names: np.ndarray, k: int):
     """Of every partition, the k nearest vectors of each of the given queries."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,10 +271,10 @@ def best(sim: np.ndarray, k: int) -> np.ndarray:
 
 
 class Group:
-    """The vectors of some leaves of a tree, and the queries that look into them."""
+    """The vectors of some leaves of a tree, and the queries that look into them. ``least``: of lesser cosines none is wanted."""
 
-    def __init__(self, k: int):
-        self.k, self.rows, self.of = k, [], {}
+    def __init__(self, k: int, least: float = -2):
+        self.k, self.least, self.rows, self.of = k, np.float32(least - 1e-6), [], {}
 
     def add(self, lies: np.ndarray, looks: np.ndarray, cls: np.ndarray, x: np.ndarray) -> None:
         self.rows.append((lies, looks, cls, x))
@@ -293,6 +307,11 @@ class Group:
                     own = np.flatnonzero(lies[some][q] == leaf)
                     s[own, place[some][q[own]]] = -9
                 s[:, n:] = -9
+                if self.least > -2:
+                    some_are = np.flatnonzero(s.max(axis=1) >= self.least)
+                    if not len(some_are):
+                        continue
+                    q, s = q[some_are], s[some_are]
                 top = best(s, self.k)
                 of.append(np.repeat(q, top.shape[1]))
                 other.append(ids[top].ravel())
@@ -304,16 +323,16 @@ class Group:
             of, other, cos = of[order], other[order], cos[order]
             first = np.r_[True, of[1:] != of[:-1]]
             rank = np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0))
-            keep = (rank < self.k) & (cos > -2)
+            keep = (rank < self.k) & (cos > -2) & (cos >= self.least)
             found = np.empty(int(keep.sum()), _FOUND)
             found["other"], found["cos"] = other[keep], cos[keep]
             heads = np.flatnonzero(np.r_[True, of[keep][1:] != of[keep][:-1]]) if len(found) else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(c[of[keep][heads]]), packed(found, heads)], ["cls", "found"])
 
 
-def _ranked(dim: int, k: int):
+def _ranked(dim: int, k: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group, closed = None, Group(k), True
+        at, group, closed = None, Group(k, least), True
         for batch in batches:
             grp, part, lies, looks, cls = (batch.column(c).to_numpy() for c in range(5))
             x = unpacked(batch.column(5), np.float32)[0].reshape(-1, dim)
@@ -325,7 +344,7 @@ def _ranked(dim: int, k: int):
                 if at != (grp[lo], part[lo]):
                     if not closed:
                         yield from group.close()
-                    at, group, closed = (grp[lo], part[lo]), Group(k), False
+                    at, group, closed = (grp[lo], part[lo]), Group(k, least), False
                 if not query[lo]:
                     group.add(lies[lo:hi], looks[lo:hi], cls[lo:hi], x[lo:hi])
                     continue
@@ -386,13 +405,13 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), sizes)), pa.array(rows["other"].copy()), pa.array(rows["cos"].copy())], ["cls", "other", "cos"])
 
 
-def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: Search | None = None) -> DataFrame:
+def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: Search | None = None, at_least: float | None = None) -> DataFrame:
     """(key, rank, other, cosine): the k most similar other rows of every row, rank from 1; equal cosines in the order of keys.
 
     Null and all-zero vectors, vectors with null or not finite elements, and vectors of another length than most have take no part.
     Rows alike in key and vector count once; rows of one key are not each other's neighbours. Equal vectors are one class
     while searched, so copies cost nothing. With fewer than k other rows, all come. An empty table gives no rows; other columns
-    are dropped. Every row is indexed and is a query.
+    are dropped. Every row is indexed and is a query. ``at_least``: only rows of that cosine or more, for which far fewer leaves are popped.
     """
     search = search or Search()
     kind = df.schema[key].dataType.simpleString()
@@ -424,7 +443,9 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
         exact = vectors.select("cls", "vec").mapInArrow(_exact(x, names, k), "q int, cos double, vec binary")
         exact = exact.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("cos"), "vec"))).where(F.col("r") <= k).select("q", "vec").collect()  # k for each asked
         near = [np.frombuffer(b"".join(r.vec for r in exact if r.q == q), np.float32).reshape(-1, dim) for q in range(len(names))]
-        visits = visits_for(forest, x, near, search.recall, search.visits)
+        if at_least is not None:
+            near = [np.concatenate([v[v @ q >= at_least], more]) for q, v, more in zip(x, near, made_up(x, at_least, search.made, search.seed), strict=True)]
+        visits = visits_for(forest, x, near, search.recall if at_least is None else search.recall_near, search.visits)
         rows = len(spread(leaves(forest, x), popped(forest, x, visits), levels)[0]) / len(x)
     parts: dict[int, int] = {}
     if n * 2 > search.block << (depth - levels):  # only then a group may exceed a block; one row a group, of which there are few
@@ -436,7 +457,7 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     passes, best_yet = min(int(np.ceil(rows)), 1 + int(n * rows) // A_PASS), None
     for now in range(passes):
         laid = routed.mapInArrow(_laid_out(levels, parts, passes, now), "grp int, part int, lies int, looks int, cls long, vec binary")
-        scored = laid.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lies") < 0).mapInArrow(_ranked(dim, k), "cls long, found binary")
+        scored = laid.repartition("grp", "part").sortWithinPartitions("grp", "part", F.col("lies") < 0).mapInArrow(_ranked(dim, k, -2 if at_least is None else at_least), "cls long, found binary")
         both = scored if best_yet is None else scored.unionByName(best_yet)
         better = cut_clean(both.repartition("cls").sortWithinPartitions("cls").mapInArrow(_merged(k), "cls long, found binary"))
         if best_yet is not None:
@@ -446,12 +467,14 @@ def nearest_vectors(df: DataFrame, key: str, vector: str, k: int = 10, search: S
     top = best_yet.mapInArrow(_each, "cls long, other long, cos float")
 
     firsts = members.withColumn("n", F.row_number().over(W.partitionBy("cls").orderBy("id"))).where(F.col("n") <= k + 1).select(F.col("cls").alias("other"), F.col("id").alias("oid"))
-    own = members.select("cls", F.col("cls").alias("other"), F.lit(1.0).cast("float").alias("cos")).distinct()
+    copied = members.groupBy("cls").count().where("count > 1")  # of others, the only row is their own neighbour
+    own = copied.select("cls", F.col("cls").alias("other"), F.lit(1.0).cast("float").alias("cos"))
     near = top.unionByName(own).join(firsts, "other")
     ranked = near.withColumn("r", F.row_number().over(W.partitionBy("cls").orderBy(F.desc("cos"), "oid"))).where(F.col("r") <= k + 1)
     lists = ranked.groupBy("cls").agg(F.array_sort(F.collect_list(F.struct("r", "oid", "cos"))).alias("x"))
     each = members.join(lists, "cls").select("id", F.posexplode(F.slice(F.filter("x", lambda e: ~e["oid"].eqNullSafe(F.col("id"))), 1, k)).alias("p", "e"))
-    return each.select("id", (F.col("p") + 1).alias("rank"), F.col("e.oid").alias("other"), F.col("e.cos").cast("double").alias("cosine")).toDF(*out_names)
+    out = each.select("id", (F.col("p") + 1).alias("rank"), F.col("e.oid").alias("other"), F.col("e.cos").cast("double").alias("cosine")).toDF(*out_names)
+    return out if at_least is None else out.where(F.col("cosine") >= at_least)
 
 
 def _groups_only(forest: list, dim: int, near: int):

@@ -72,6 +72,30 @@ def test_merged():
             assert len(set(mine)) == len(mine) and set(mine) <= every and [c for c, _ in mine] == sorted((c for c, _ in every), reverse=True)[:10]
 
 
+def test_only_near_vectors(spark, monkeypatch):
+    """Of vectors with few near ones all these are found, in as many leaves as a made-up neighbour takes, not as many as the k-th does."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 32))
+    x[3000:3500] = x[:500] + rng.normal(size=(500, 32)) * rng.uniform(0.1, 0.45, (500, 1))
+    x[3500:3540] = x[7] + rng.normal(size=(40, 32)) * 0.1  # more than k
+    x[3540:3550] = x[8] * np.arange(1, 11)[:, None]  # equal vectors
+    u = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    df = spark.createDataFrame([(f"{k:04}", v.tolist()) for k, v in enumerate(u)], "id string, embedding array<float>")
+    asked = []
+    monkeypatch.setattr(nearest_module, "visits_for", lambda *a: asked.append(visits_for(*a)) or asked[-1])
+    search = Search(leaf=100, visits=1)
+    got = nearest_vectors(df, "id", "embedding", 10, search, at_least=0.9).collect()
+    everything = nearest_vectors(df, "id", "embedding", 10, search)
+    assert everything.count() == 40_000 and asked[0] < asked[1] / 2
+    cos = u.astype(float) @ u.astype(float).T
+    np.fill_diagonal(cos, -9)
+    near = {(f"{i:04}", f"{j:04}") for i, j in zip(*np.nonzero(cos >= 0.9), strict=True) if (cos[i] >= 0.9).sum() <= 10}
+    found = {(r.id, r.other) for r in got}
+    assert all(r.cosine >= 0.9 and r["rank"] <= 10 for r in got) and len(near - found) <= 0.005 * len(near)
+    full = [f"{i:04}" for i in range(4000) if (cos[i] >= 0.9).sum() > 10]
+    assert len(full) > 40 and all(sum(a == i for a, _ in found) == 10 for i in full)
+
+
 def test_disk_of_nearest_vectors(spark, monkeypatch):
     """In several passes the same neighbours are found, and little lies on disk at once: less than four times the vectors."""
     rng = np.random.default_rng(6)
